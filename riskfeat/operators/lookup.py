@@ -1,0 +1,37 @@
+"""Small fitted tables, with their size checked before they are broadcast."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from riskfeat.session import materialize
+
+# The most rows a fitted table may have to be held on the driver and broadcast.
+MAX_BROADCAST_ROWS = 100_000
+
+
+@dataclass(frozen=True)
+class FittedTable:
+    """A table computed once by ``fit`` and joined many times by ``transform``."""
+
+    table: DataFrame
+    small: bool
+
+    def join_side(self) -> DataFrame:
+        return F.broadcast(self.table) if self.small else self.table
+
+
+def fit_table(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> FittedTable:
+    """Compute ``df`` once.
+
+    Up to ``max_rows`` rows it becomes a local table that joins by broadcast,
+    so the large side is not shuffled. Beyond that it is checkpointed and
+    joined by a shuffle, where adaptive execution splits hot keys.
+    """
+    head = df.limit(max_rows + 1).toArrow()
+    if head.num_rows <= max_rows:
+        return FittedTable(df.sparkSession.createDataFrame(head, df.schema), True)
+    return FittedTable(materialize(df), False)
