@@ -202,8 +202,9 @@ DOCUMENT_KEYS = ["id", "split", "target", "fold"]
 
 def _document_matrix(spark, folder, codes=False):
     rows = _documents(spark, folder)
-    encoder = (LabelCodes if codes else OneHot).fit(rows, ["lang", "source"])
-    return keep(assemble_vector(encoder.transform(rows), DOCUMENT_KEYS))
+    names = ["lang", "source"]
+    encoded = LabelCodes.fit(rows, names).transform(rows, as_category=True) if codes else OneHot.fit(rows, names).transform(rows)
+    return keep(assemble_vector(encoded, DOCUMENT_KEYS))
 
 
 def _train_and_score(matrix, estimator):
@@ -243,42 +244,38 @@ def _(spark, folder):
 @query("stack_oof")
 def _(spark, folder):
     rows = _documents(spark, folder)
-    codes = LabelCodes.fit(rows, ["lang", "source"]).transform(rows)
+    codes = LabelCodes.fit(rows, ["lang", "source"]).transform(rows, as_category=True)
     coded = assemble_vector(codes, DOCUMENT_KEYS, "codes")
     hot = assemble_vector(OneHot.fit(rows, ["lang", "source"]).transform(rows), DOCUMENT_KEYS, "onehot")
     matrix = keep(hot.join(coded.select("id", "codes"), "id"))
     return stack_oof(matrix, jobs.stack_scorers(TRIAL_ROUNDS), est.STACK_FOLDS, parallelism=4)
 
 
-def _saved(df):
-    return materialize(df)
-
-
 @query("score_wide")
 def _(spark, folder):
-    return jobs.score_single(_saved(wide_features(spark, folder)), jobs.WIDE, TRIAL_ROUNDS)
+    return jobs.score_single(materialize(wide_features(spark, folder)), jobs.WIDE, TRIAL_ROUNDS)
 
 
 @query("score_anchored")
 def _(spark, folder):
-    return jobs.score_single(_saved(anchored_features(spark, folder)), jobs.ANCHORED, TRIAL_ROUNDS)
+    return jobs.score_single(materialize(anchored_features(spark, folder)), jobs.ANCHORED, TRIAL_ROUNDS)
 
 
 @query("validate_wide")
 def _(spark, folder):
-    return jobs.validate_single(_saved(wide_features(spark, folder)), jobs.WIDE, CUT, TRIAL_ROUNDS)
+    return jobs.validate_single(materialize(wide_features(spark, folder)), jobs.WIDE, CUT, TRIAL_ROUNDS)
 
 
 @query("validate_anchored")
 def _(spark, folder):
-    return jobs.validate_single(_saved(anchored_features(spark, folder)), jobs.ANCHORED, CUT, TRIAL_ROUNDS)
+    return jobs.validate_single(materialize(anchored_features(spark, folder)), jobs.ANCHORED, CUT, TRIAL_ROUNDS)
 
 
 @query("validate_logistic")
 def _(spark, folder):
-    return jobs.validate_logistic(_saved(wide_features(spark, folder)), YEAR, MONTH)
+    return jobs.validate_logistic(materialize(wide_features(spark, folder)), YEAR, MONTH)
 
 
 @query("score_stacked")
 def _(spark, folder):
-    return jobs.score_stack(_saved(wide_features(spark, folder)), TRIAL_ROUNDS, parallelism=4)
+    return jobs.score_stack(materialize(wide_features(spark, folder)), TRIAL_ROUNDS, parallelism=4)

@@ -7,6 +7,7 @@ session time zone.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ MISSING_NUMBER = ("NA", "null")
 MISSING_TIME = ("0", "NA", "nan")
 ZERO_DATE = "0000-00-00"
 CLOCK_PATTERN = r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"
+DIGITS_PATTERN = r"^\d+$"
 BIRTHDAY_PATTERN = r"^19\d{2}-\d{1,2}-\d{1,2}$"
 
 
@@ -39,11 +41,11 @@ def nullify(c: ColumnOrName, values: Iterable[str] = MISSING_TEXT) -> Column:
 
 def parse_number(c: ColumnOrName) -> Column:
     """Text to double; sentinels, bad text and NaN give NULL."""
-    c = nullify(c, MISSING_NUMBER)
+    c = as_col(c)
     # the JVM parser also takes a type suffix such as "12d", which is bad text here
-    suffixed = F.lower(F.right(F.trim(c), F.lit(1))).isin("d", "f")
-    number = F.when(~suffixed, c.try_cast("double"))
-    return F.when(~F.isnan(number), number)
+    suffixed = c.endswith("d") | c.endswith("D") | c.endswith("f") | c.endswith("F")
+    number = F.nanvl(c.try_cast("double"), F.lit(None).cast("double"))
+    return F.when(~(c.isin(*MISSING_NUMBER) | suffixed), number)
 
 
 def parse_timestamp_multi(c: ColumnOrName, offset_hours: int = 8) -> Column:
@@ -51,15 +53,15 @@ def parse_timestamp_multi(c: ColumnOrName, offset_hours: int = 8) -> Column:
 
     Epoch values are moved by ``offset_hours`` to the wall clock of the source.
     """
-    c = nullify(c, MISSING_TIME)
+    c = as_col(c)
     digits = F.substring(c, 1, 10)
-    seconds = F.when(digits.rlike(r"^\d+$"), digits.try_cast("bigint"))
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    from_epoch = epoch + F.make_dt_interval(
-        F.lit(0), F.lit(offset_hours), F.lit(0), seconds.cast("decimal(18,6)")
+    epoch = F.lit(str(datetime(1970, 1, 1) + timedelta(hours=offset_hours))).cast("timestamp_ntz")
+    seconds = F.lit(timedelta(seconds=1)) * digits.cast("bigint")
+    return (
+        F.when(c.isin(*MISSING_TIME), None)
+        .when(c.contains(":"), F.when(c.rlike(CLOCK_PATTERN), c.try_cast("timestamp_ntz")))
+        .when(digits.rlike(DIGITS_PATTERN), epoch + seconds)
     )
-    from_clock = F.when(c.rlike(CLOCK_PATTERN), c.try_cast("timestamp_ntz"))
-    return F.when(c.contains(":"), from_clock).otherwise(from_epoch)
 
 
 def parse_birthday(c: ColumnOrName, reject_zero_padded: bool = True) -> Column:

@@ -110,24 +110,26 @@ class LabelCodes:
             text = df.select([F.col(c).cast("string").alias(c) for c in columns])
             return cls({}, {c: fit_table(ranked_values(text, c)) for c in columns})
 
-    def transform(self, df: DataFrame) -> DataFrame:
+    def transform(self, df: DataFrame, as_category: bool = False) -> DataFrame:
+        """Codes as integers, or as doubles that tree learners take for categories."""
+        order = df.columns
         for column, fitted in self.tables.items():
-            codes = fitted.join_side().select(
-                F.col("value").alias(column), F.col("code").alias(f"{column}__code")
-            )
+            codes = fitted.join_side().select(F.col("value").alias(column), F.col("code").alias("__code"))
             df = df.withColumn(column, F.col(column).cast("string")).join(codes, column, "left")
-            df = df.withColumn(column, F.col(f"{column}__code")).drop(f"{column}__code")
+            df = df.drop(column).withColumnRenamed("__code", column)
         return df.select([
-            self._code(c) if c in self.vocabulary else F.col(c) for c in df.columns
+            self._code(c, as_category) if c in self.vocabulary else F.col(c) for c in order
         ])
 
-    def _code(self, column: str) -> Column:
+    def _code(self, column: str, as_category: bool) -> Column:
         values = self.vocabulary[column]
         position = F.array_position(F.array(*[F.lit(v) for v in values]), F.col(column).cast("string"))
         code = F.when(position > 0, position - 1).cast("bigint")
-        # tells tree learners that the column is a category, not a number
+        if not as_category:
+            return code.alias(column)
+        # the vector assembler keeps this mark on double columns only
         nominal = {"ml_attr": {"type": "nominal", "name": column, "vals": values}}
-        return code.alias(column, metadata=nominal)
+        return code.cast("double").alias(column, metadata=nominal)
 
 
 def label_counts(label: ColumnOrName) -> dict[str, Column]:
