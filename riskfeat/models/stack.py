@@ -57,7 +57,7 @@ def stack_oof(
     the fit on all of train. Rows of one batch pass through all scorers in one
     chain, so each row is scored once per scorer and nothing is joined. Scores
     are then scaled within (scorer, batch). ``matrix`` should be cached or
-    checkpointed: every fit reads it.
+    saved: every fit reads it.
     """
     is_train = F.col(split) == "train"
     train = matrix.where(is_train)

@@ -71,7 +71,7 @@ def ranked_values(df: DataFrame, column: str) -> DataFrame:
 
     Range partitioned and sorted within partitions, so the rank is the local
     position plus the sizes of the partitions before. The sorted table is
-    checkpointed first: positions must not move when a task is run again.
+    saved first: positions must not move when a task is run again.
     """
     local_bits = F.lit((1 << 33) - 1).cast("bigint")
     ordered = materialize(
@@ -103,15 +103,24 @@ class LabelCodes:
 
     @classmethod
     def fit(cls, df: DataFrame, columns: list[str], max_values: int = 1_000) -> LabelCodes:
-        """Vocabularies within ``max_values`` in all become literals, others tables."""
+        """A vocabulary of up to ``max_values`` becomes literals, a larger one a table."""
         try:
             return cls(fit_vocabulary(df, columns, max_values), {})
         except ValueError:
-            text = df.select([F.col(c).cast("string").alias(c) for c in columns])
-            return cls({}, {c: fit_table(ranked_values(text, c)) for c in columns})
+            pass  # some column is large: find out which
+        vocabulary, tables = {}, {}
+        for c in columns:
+            try:
+                vocabulary.update(fit_vocabulary(df, [c], max_values))
+            except ValueError:
+                tables[c] = fit_table(ranked_values(df.select(F.col(c).cast("string").alias(c)), c))
+        return cls(vocabulary, tables)
 
     def transform(self, df: DataFrame, as_category: bool = False) -> DataFrame:
-        """Codes as integers, or as doubles that tree learners take for categories."""
+        """Codes as integers, or as doubles that tree learners take for categories.
+
+        A column coded by a table has too many values for that and stays ordinal.
+        """
         order = df.columns
         for column, fitted in self.tables.items():
             codes = fitted.join_side().select(F.col("value").alias(column), F.col("code").alias("__code"))

@@ -28,7 +28,7 @@ def fit_table(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> FittedTable:
     """Compute ``df`` once.
 
     Up to ``max_rows`` rows it becomes a local table that joins by broadcast,
-    so the large side is not shuffled. Beyond that it is checkpointed and
+    so the large side is not shuffled. Beyond that it is saved once and
     joined by a shuffle, where adaptive execution splits hot keys.
     """
     head = df.limit(max_rows + 1).toArrow()

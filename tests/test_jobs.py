@@ -59,7 +59,7 @@ def test_test_rows_are_unlabelled(spark, folders):
 def test_run_writes_scores(spark, folders, tmp_path, stacked, monkeypatch):
     monkeypatch.setattr(est, "STACK_FOLDS", 2)
     if stacked:
-        monkeypatch.setattr(jobs, "stack_scorers", lambda rounds: short_scorers(rounds))
+        monkeypatch.setattr(jobs, "stack_scorers", lambda rounds, categories: short_scorers(rounds))
     paths = str(tmp_path / "features"), str(tmp_path / "scores")
     jobs.run(spark, *folders, *paths, stacked=stacked, rounds=2)
     assert sorted(os.path.basename(p) for p in glob.glob(paths[0] + "/split=*")) == ["split=test", "split=train"]
@@ -80,6 +80,7 @@ def test_stack_matrix_marks_categories(spark, data_dir):
     rows = jobs.stack_matrix(flagship.wide_features(spark, data_dir), folds=2)
     attributes = rows.schema["codes"].metadata["ml_attr"]["attrs"]
     assert len(attributes["nominal"]) == 8 and "numeric" in attributes
+    assert jobs.largest_category(rows) == max(len(a["vals"]) for a in attributes["nominal"]) > 2
     assert {r.fold for r in rows.select("fold").distinct().collect()} == {0, 1}
 
 

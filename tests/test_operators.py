@@ -160,6 +160,15 @@ def test_label_codes_small_and_large(spark, max_values):
     assert tuple(codes.transform(unseen).first()) == (6, None, 0)
 
 
+def test_label_codes_mixed(spark):
+    df = spark.range(50).select("id", F.format_string("v%02d", "id").alias("wide"), (F.col("id") % 3).alias("narrow"))
+    codes = encode.LabelCodes.fit(df, ["wide", "narrow"], max_values=10)
+    assert list(codes.tables) == ["wide"] and codes.vocabulary == {"narrow": ["0", "1", "2"]}
+    out = codes.transform(df)
+    assert out.columns == df.columns
+    assert all(r.wide == r.id and r.narrow == r.id % 3 for r in out.collect())
+
+
 def test_ranked_values(spark):
     values = [f"v{i:05d}" for i in range(3000)]
     random.Random(1).shuffle(values)
