@@ -83,14 +83,21 @@ def cross_validate(
     train: DataFrame, scorer: Scorer, folds: int, label: str = "target", fold: str = "fold",
     parallelism: int = 1,
 ) -> DataFrame:
-    """Held-out AUC per fold."""
+    """AUC per fold on the rows the fit has seen and on those it has not."""
     rows = [train.where(F.col(fold) != b) for b in range(folds)]
     models = _fit_all([(scorer, r) for r in rows], parallelism)
-    held_out = reduce(DataFrame.unionByName, [
-        add_score(train.where(F.col(fold) == b), m, "score").select(fold, label, "score")
+    scored = reduce(DataFrame.unionByName, [
+        add_score(train, m, "score").select(
+            F.lit(b).alias("held_out"), (F.col(fold) == b).alias("unseen"), label, "score"
+        )
         for b, m in enumerate(models)
     ])
-    return auc(held_out, label, "score", by=fold)
+    # saved, as the ranking reads the scores more than once
+    each = auc(materialize(scored), label, "score", by=["held_out", "unseen"])
+    return each.groupBy(F.col("held_out").alias(fold)).agg(
+        F.max(F.when(~F.col("unseen"), F.col("auc"))).alias("train_auc"),
+        F.max(F.when(F.col("unseen"), F.col("auc"))).alias("test_auc"),
+    )
 
 
 def blend_linear(

@@ -35,7 +35,7 @@ def fit_vocabulary(
             for name, c in named.items()
         ])).alias("pair")
     ).select("pair.column", "pair.value").where(F.col("value").isNotNull()).distinct()
-    rows = pairs.limit(max_values + 1).toArrow().to_pylist()
+    rows = pairs.limit(max_values + 1).collect()
     if len(rows) > max_values:
         raise ValueError(f"more than {max_values} distinct values in {list(named)}")
     found: dict[str, list[str]] = {name: [] for name in named}

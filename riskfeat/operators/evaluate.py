@@ -45,7 +45,7 @@ def with_fold(df: DataFrame, key: str, folds: int, seed: int, name: str = "fold"
 
 
 def auc(
-    df: DataFrame, label: str, score: str, by: str | None = None, buckets: int = 256
+    df: DataFrame, label: str, score: str, by: str | list[str] | None = None, buckets: int = 256
 ) -> DataFrame:
     """Exact area under the ROC curve, ties counted half; one row per ``by``.
 
@@ -54,7 +54,7 @@ def auc(
     the work and do not affect the result. Only the bucket totals (at most
     ``buckets`` rows per group) meet in one window.
     """
-    groups = [by] if by else []
+    groups = [by] if isinstance(by, str) else list(by or [])
     scored = df.select(
         *groups, F.col(score).cast("double").alias("score"), F.col(label).cast("int").alias("label")
     ).where(F.col("score").isNotNull() & F.col("label").isNotNull())

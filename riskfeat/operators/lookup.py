@@ -31,7 +31,8 @@ def fit_table(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> FittedTable:
     so the large side is not shuffled. Beyond that it is saved once and
     joined by a shuffle, where adaptive execution splits hot keys.
     """
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows <= max_rows:
+    # takes partitions one after the other and stops at the limit: no shuffle
+    head = df.limit(max_rows + 1).collect()
+    if len(head) <= max_rows:
         return FittedTable(df.sparkSession.createDataFrame(head, df.schema), True)
     return FittedTable(materialize(df), False)
