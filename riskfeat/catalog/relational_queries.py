@@ -10,7 +10,7 @@ from riskfeat.catalog.registry import days, query, with_tables
 from riskfeat.functions import clean, timefeat
 from riskfeat.models.stack import blend_linear
 from riskfeat.operators import aggregate as agg
-from riskfeat.operators.assemble import left_star, member_keys, prefix_columns
+from riskfeat.operators.assemble import left_star, member_keys, prefix_columns, right_join
 from riskfeat.operators.encode import (
     LabelCodes,
     LabelRates,
@@ -75,9 +75,8 @@ def _(spark, folder):
 SELECT a.id, appl_sbm_tm, time_order, amt_order FROM cleaned_order o RIGHT JOIN application a ON o.id = a.id"""))
 def _(spark, folder):
     events = feat.order_events(src.order(spark, folder)).select("id", "time_order", "amt_order")
-    return events.join(src.application(spark, folder).select("id", "appl_sbm_tm"), "id", "right").select(
-        "id", "appl_sbm_tm", "time_order", "amt_order"
-    )
+    people = src.application(spark, folder).select("id", "appl_sbm_tm")
+    return right_join(events, people, "id").select("id", "appl_sbm_tm", "time_order", "amt_order")
 
 
 @query("join_prefixed", with_tables("auth user_info", """

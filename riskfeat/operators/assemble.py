@@ -36,6 +36,18 @@ def member_keys(owner: DataFrame, child: DataFrame, key: str, value: str, name:
     return owner.join(pairs, [key, value], "left_semi").select(key, F.lit(1).alias(name))
 
 
+def right_join(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
+    """All child rows of known parents, and one row for each parent without any.
+
+    Spark cannot split a hot key on the side of an outer join that is not
+    preserved. So the matches are an inner join, which it can split, and the
+    other parents are found against the distinct keys of the child.
+    """
+    matched = child.join(parent, key, "inner")
+    alone = parent.join(child.select(key).distinct(), key, "left_anti")
+    return matched.unionByName(alone, allowMissingColumns=True)
+
+
 def union_split(train: DataFrame, test: DataFrame, label: str = "target", unlabeled: int = -1) -> DataFrame:
     """Train on top of test, told apart by ``split``; columns matched by name.
 

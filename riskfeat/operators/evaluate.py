@@ -36,7 +36,8 @@ def fold_of(key: ColumnOrName, folds: int, seed: int, text: bool = False) -> Col
     """Fold number from the key alone: stable under any repartitioning or retry."""
     key = as_col(key)
     number = F.xxhash64(key) if text else key.cast("bigint")
-    return F.pmod(number + F.lit(seed), F.lit(folds)).cast("int")
+    # reduced before the seed is added, so no key can overflow
+    return F.pmod(F.pmod(number, F.lit(folds)) + F.lit(seed % folds), F.lit(folds)).cast("int")
 
 
 def with_fold(df: DataFrame, key: str, folds: int, seed: int, name: str = "fold") -> DataFrame:
@@ -114,8 +115,14 @@ def min_max_scale_by(df: DataFrame, by: list[str], scores: list[str], max_batche
     ])
 
 
+def format_scores(scores: DataFrame, score: str, key: str = "id", digits: int = 4) -> DataFrame:
+    """``(id, PROB)``: min-max scaled over the table, fixed decimals."""
+    return min_max_scale(scores.select(key, score), score, "PROB").select(
+        key, fixed_decimals("PROB", digits).alias("PROB")
+    )
+
+
 def score_file(applicants: DataFrame, scores: DataFrame, score: str, key: str = "id", digits: int = 4) -> DataFrame:
-    """``(id, PROB)``: scores attached by key, min-max scaled, fixed decimals."""
+    """``format_scores`` for exactly the listed applicants, matched by key."""
     attached = applicants.select(key).join(scores.select(key, score), key, "left")
-    scaled = min_max_scale(attached, score, "PROB")
-    return scaled.select(key, fixed_decimals("PROB", digits).alias("PROB"))
+    return format_scores(attached, score, key, digits)

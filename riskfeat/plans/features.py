@@ -87,8 +87,9 @@ def unused_order_history(events: DataFrame) -> DataFrame:
 
 
 def receive_counts(receive: DataFrame, regions: list[str]) -> DataFrame:
-    return agg.per_key(receive, "id", {
-        **agg.crosstab(clean.text_prefix("region"), regions, "region_"),
+    prefixed = receive.select("id", clean.text_prefix("region").alias("region"), "fix_phone")
+    return agg.per_key(prefixed, "id", {
+        **agg.crosstab("region", regions, "region_"),
         "fix_phone_count": agg.value_count("fix_phone"),
         "fix_phone_unique": agg.distinct_count("fix_phone"),
     })

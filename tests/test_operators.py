@@ -118,6 +118,34 @@ def test_left_star_keeps_rows(spark):
     assert out.count() == 10 and out.where("x = 5 and y = 5").count() == 1
 
 
+def test_right_join(spark):
+    child = spark.createDataFrame([(1, "a"), (1, "b"), (9, "c")], "id int, v string")
+    parent = spark.createDataFrame([(1, 10), (2, 20)], "id int, t int")
+    out = assemble.right_join(child, parent, "id").select("id", "v", "t").collect()
+    assert sorted(map(tuple, out), key=str) == [(1, "a", 10), (1, "b", 10), (2, None, 20)]
+
+
+def test_right_join_splits_a_hot_key(spark, conf):
+    conf(**{
+        "spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes": "100KB",
+        "spark__sql__adaptive__advisoryPartitionSizeInBytes": "64KB",
+        "spark__sql__autoBroadcastJoinThreshold": "-1",
+        "spark__sql__adaptive__autoBroadcastJoinThreshold": "-1",
+        "spark__sql__adaptive__skewJoin__skewedPartitionFactor": "2",
+    })
+    child = hot_child(spark)
+    out = assemble.right_join(child, spark.range(3500), "id")
+    alone = 3500 - child.select("id").distinct().count()
+    assert alone > 0 and len(out.collect()) == 120_000 + alone
+    assert "skew=true" in plan_of(out)
+
+
+def test_folds_of_extreme_keys(spark):
+    df = spark.createDataFrame([(2**63 - 1,), (-(2**63),)], "id bigint")
+    got = {r.id: r.fold for r in evaluate.with_fold(df, "id", 5, 111).collect()}
+    assert got == {i: (i + 111) % 5 for i in got}
+
+
 def test_union_and_fill(spark):
     train = spark.createDataFrame([(1, 1, "a", 2.0, ANCHOR)], "id int, target int, c string, x double, t timestamp_ntz")
     test = spark.createDataFrame([(2, None)], "id int, c string")
