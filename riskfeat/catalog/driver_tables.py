@@ -38,10 +38,6 @@ def _text(c: Column) -> Column:
     return c.cast("string")
 
 
-def _clock_text(c: Column) -> Column:
-    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-
-
 def application(spark: SparkSession, folder: str) -> DataFrame:
     key = F.col("o_orderkey")
     hours = F.make_dt_interval(F.lit(0), F.pmod(key, F.lit(24)).cast("int"))
@@ -58,7 +54,7 @@ def auth(spark: SparkSession, folder: str) -> DataFrame:
     days = F.make_dt_interval(((key * 7) % 41 - 20).cast("int"))
     return table(spark, folder, "orders").where(key % 9 != 0).select(
         key.alias("id"),
-        F.when(key % 13 == 1, "0000-00-00").when(key % 13 != 0, _clock_text(F.col("o_orderdate") + days)).alias("auth_time"),
+        F.when(key % 13 == 1, "0000-00-00").when(key % 13 != 0, _text(F.col("o_orderdate") + days)).alias("auth_time"),
         F.when(key % 7 != 0, F.concat(_text(key % 4), F.lit("****"), _text(key % 3))).alias("id_card"),
         F.when(key % 11 != 0, F.concat(F.lit("1"), _text((key * 3) % 20))).alias("phone"),
     )
@@ -127,7 +123,7 @@ def order(spark: SparkSession, folder: str) -> DataFrame:
         F.when(part % 10 == 0, "NA").when(part % 10 == 1, "null").when(part % 14 != 5, _text(F.col("l_extendedprice"))).alias("amt_order"),
         F.when(part % 9 == 0, "NA").when(part % 15 != 4, _text(F.col("l_quantity"))).alias("unit_price"),
         F.when(part % 16 == 0, "0").when(part % 16 == 1, "NA").when(part % 16 < 6, _text(seconds))
-        .when(part % 16 != 6, _clock_text(ship)).alias("time_order"),
+        .when(part % 16 != 6, _text(ship)).alias("time_order"),
         F.when(flag == "A", PAY_ONLINE).when(flag == "N", PAY_ON_DELIVERY).when(part % 4 != 0, "other").alias("type_pay"),
         F.when(F.col("l_linestatus") == "F", ORDER_DONE).when(part % 3 != 0, "open").alias("sts_order"),
         F.when(part % 5 != 0, F.concat(F.lit("1"), _text(part % 20))).alias("phone"),

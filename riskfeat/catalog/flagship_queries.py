@@ -9,7 +9,7 @@ from riskfeat.catalog.registry import days, query, with_tables
 from riskfeat.catalog.relational_queries import REGION_COUNTS, labelled_documents
 from riskfeat.functions import flags, timefeat
 from riskfeat.models import estimators as est
-from riskfeat.models.stack import Scorer, add_score, cross_validate, stack_oof
+from riskfeat.models.stack import Scorer, add_score, cross_validate, fit_scorer, stack_oof
 from riskfeat.operators.assemble import fill_zero, left_star
 from riskfeat.operators.encode import LabelCodes, OneHot, assemble_vector
 from riskfeat.operators.evaluate import with_fold
@@ -208,7 +208,7 @@ def _document_matrix(spark, folder, codes=False):
 
 
 def _train_and_score(matrix, estimator):
-    model = estimator.fit(matrix.where(F.col("split") == "train"))
+    model = fit_scorer(estimator, matrix.where(F.col("split") == "train"))
     return add_score(matrix.where(F.col("split") == "test"), model, "score").select("id", "score")
 
 

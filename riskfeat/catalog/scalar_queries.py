@@ -42,7 +42,7 @@ SELECT id, appl_sbm_tm, target FROM application"""))
 def _(spark, folder):
     path = scratch_path(spark, "application")
     rows = src.application(spark, folder)
-    write_scores(rows.withColumn("appl_sbm_tm", F.date_format("appl_sbm_tm", "yyyy-MM-dd HH:mm:ss")), path)
+    write_scores(rows.withColumn("appl_sbm_tm", F.col("appl_sbm_tm").cast("string")), path)
     return scan_csv(spark, path, schema_of("application"))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskfeat.operators.evaluate import auc, min_max_scale_by
-from riskfeat.session import materialize
+from riskfeat.session import materialize, use_shared_checkpoints
 
 ALL_TRAIN = -1  # batch number of the test rows, scored by a fit on all of train
 
@@ -36,10 +36,15 @@ def add_score(df: DataFrame, model: Model, name: str) -> DataFrame:
     return scored.withColumn(name, vector_to_array("probability")[1]).drop(*added)
 
 
+def fit_scorer(estimator: Estimator, rows: DataFrame) -> Model:
+    use_shared_checkpoints(rows.sparkSession)
+    return estimator.fit(rows)
+
+
 def _fit_all(jobs: list[tuple], parallelism: int) -> list[Model]:
     def fit(job):
         scorer, rows = job
-        return scorer.estimator.fit(rows)
+        return fit_scorer(scorer.estimator, rows)
 
     if parallelism == 1:
         return [fit(job) for job in jobs]

@@ -75,6 +75,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def use_shared_checkpoints(spark: SparkSession) -> None:
+    """Let long-running learners cut their lineage in the shared folder.
+
+    Boosting over hundreds of rounds checkpoints its running prediction every
+    few rounds, but only where a checkpoint folder is set.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(spark))
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Cache that spills to disk and is recomputed from lineage when lost."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -10,6 +10,15 @@ from riskfeat.operators.lookup import fit_table
 
 ANCHOR = datetime(2017, 1, 10)
 
+# Options under which a partition of the small fixtures already counts as skewed.
+SMALL_SKEW = {
+    "spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes": "100KB",
+    "spark__sql__adaptive__advisoryPartitionSizeInBytes": "64KB",
+    "spark__sql__autoBroadcastJoinThreshold": "-1",
+    "spark__sql__adaptive__autoBroadcastJoinThreshold": "-1",
+    "spark__sql__adaptive__skewJoin__skewedPartitionFactor": "2",
+}
+
 
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -61,13 +70,7 @@ def hot_child(spark, rows=120_000, keys=3000):
 
 
 def test_hot_key_is_split_in_the_join(spark, conf):
-    conf(**{
-        "spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes": "100KB",
-        "spark__sql__adaptive__advisoryPartitionSizeInBytes": "64KB",
-        "spark__sql__autoBroadcastJoinThreshold": "-1",
-        "spark__sql__adaptive__autoBroadcastJoinThreshold": "-1",
-        "spark__sql__adaptive__skewJoin__skewedPartitionFactor": "2",
-    })
+    conf(**SMALL_SKEW)
     people = spark.range(3000).select("id", F.lit("2017-02-15").cast("timestamp_ntz").alias("anchor"))
     joined = agg.with_anchor(hot_child(spark), people, "id", "anchor")
     out = agg.per_key(joined, "id", agg.before_after("t", "anchor", "amount"))
@@ -126,13 +129,7 @@ def test_right_join(spark):
 
 
 def test_right_join_splits_a_hot_key(spark, conf):
-    conf(**{
-        "spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes": "100KB",
-        "spark__sql__adaptive__advisoryPartitionSizeInBytes": "64KB",
-        "spark__sql__autoBroadcastJoinThreshold": "-1",
-        "spark__sql__adaptive__autoBroadcastJoinThreshold": "-1",
-        "spark__sql__adaptive__skewJoin__skewedPartitionFactor": "2",
-    })
+    conf(**SMALL_SKEW)
     child = hot_child(spark)
     out = assemble.right_join(child, spark.range(3500), "id")
     alone = 3500 - child.select("id").distinct().count()
@@ -224,6 +221,21 @@ def test_label_rates(spark, max_rows):
     assert {k: None if v is None else pytest.approx(v) for k, v in expected.items()} == got
 
 
+def test_hot_category_is_split_in_a_large_rate_join(spark, conf):
+    conf(**SMALL_SKEW)
+    i = F.col("id")
+    events = spark.range(120_000).repartition(6).select(
+        (i % 9000).alias("id"), F.when(i % 3 == 0, "hot").otherwise(F.format_string("b%05d", i % 4000)).alias("bank"))
+    labelled = spark.range(9000).select("id", (F.col("id") % 4 == 0).cast("int").alias("target"))
+    large = encode.LabelRates.fit(events, labelled, "id", "bank", "target", max_rows=10)
+    out = large.mean_per_key(events, "id", "m")
+    got = {r.id: r.m for r in out.collect()}
+    assert not large.fitted.small and "skew=true" in plan_of(out)
+    small = encode.LabelRates.fit(events, labelled, "id", "bank", "target")
+    expected = {r.id: r.m for r in small.mean_per_key(events, "id", "m").collect()}
+    assert small.fitted.small and got == pytest.approx(expected)
+
+
 def test_label_rates_unseen(spark):
     events, labelled = rate_inputs(spark)
     zero = encode.LabelRates.fit(events, labelled, "id", "bank", "target", unseen=0.0)
