@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark import StorageLevel
@@ -28,7 +27,7 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
+def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g", scratch: str = "") -> SparkSession:
     """A local session for tests and the benchmark; clusters bring their own."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -40,22 +39,16 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         # call-site capture on every Column call makes wide plans slow to build
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
+    if scratch:
+        builder = builder.config("spark.checkpoint.dir", scratch)
     return tune(builder.getOrCreate())
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, named by ``spark.checkpoint.dir``.
-
-    A machine-local folder is made only for a local master with no setting.
-    """
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or where that is
+    unset a folder in the session's warehouse, which all executors share as well."""
     configured = spark.conf.get("spark.checkpoint.dir", "")
-    if configured:
-        return configured
-    if not spark.conf.get("spark.master", "local").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="riskfeat-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return configured or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_riskfeat"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -8,8 +8,8 @@ DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("8", shuffle_partitions=4)
+def spark(tmp_path_factory):
+    session = local_session("8", shuffle_partitions=4, scratch=str(tmp_path_factory.mktemp("scratch")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
