@@ -21,8 +21,8 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,10 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
+from riskfeat.llm.bpe import byte_letters
 from riskfeat.llm.vocab import VocabFile, WordCache
 from riskfeat.session import materialize
 
 SALTS = 256
+LETTERS = byte_letters()
 PIECES = "array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
 
 #: Letters for which words can be cut here and looked up one by one; other texts, and
@@ -51,44 +53,21 @@ class WordEndBpe:
         tokenizer = Tokenizer.from_str(text)
         tokenizer.no_padding()
         tokenizer.no_truncation()
-        self.tokenizer = tokenizer
+        self.model = tokenizer.model
         self.whole = lambda t: np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
         self.special = [t["content"] for t in json.loads(text)["added_tokens"]]
-        self.cache = WordCache(self.whole)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Some texts at a time: the words not known yet go to the tokenizer in one call."""
-        out: list[bytes] = []
-        for part in _blocks(texts):
-            self.cache.trim()
-            words = [None if self._uncommon(t) else COMMON_WORDS.findall(t.lower()) for t in part]
-            self._learn(set().union(*(w for w in words if w)))
-            out += [self.whole(t) if w is None else b"".join(map(self.cache.__getitem__, w)) for t, w in zip(part, words)]
-        return out
-
-    def _uncommon(self, text: str) -> bool:
-        return bool(UNCOMMON.search(text)) or any(s in text for s in self.special)
-
-    def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.cache and w not in self.cache.older and len(w) <= self.cache.longest]
-        if not new:
-            return
-        got = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-        ids, ends = np.array(got.ids, "<u4").tobytes(), np.searchsorted(got.word_ids, np.arange(len(new) + 1)) * 4
-        for w, i, j in zip(new, ends.tolist(), ends[1:].tolist()):
-            self.cache[w] = ids[i:j]
-
-
-def _blocks(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t)
-        if size > most:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+        self.cache = WordCache(self.word)
+
+    def word(self, word: str) -> bytes:
+        """One word goes straight to the merges, its bytes as the vocabulary's letters."""
+        letters = word if word.isascii() and word.isprintable() else "".join(map(LETTERS.__getitem__, word.encode()))
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        self.cache.trim()
+        if UNCOMMON.search(text) or any(s in text for s in self.special):
+            return self.whole(text)
+        return b"".join(map(self.cache.__getitem__, COMMON_WORDS.findall(text.lower())))
 
 
 def token_encoder(spark: SparkSession, path: str, end_id: int | None = 0):
@@ -99,36 +78,39 @@ def token_encoder(spark: SparkSession, path: str, end_id: int | None = 0):
     @F.arrow_udf("binary")
     def encode(texts: pa.Array) -> pa.Array:
         bpe = file.parsed(WordEndBpe)
-        return pa.array([ids + end for ids in bpe.encode([t or "" for t in texts.to_pylist()])], pa.binary())
+        return pa.array([bpe.encode(t or "") + end for t in texts.to_pylist()], pa.binary())
 
     return encode
 
 
-def piece_cutter(capacity: int):
-    """A column function: packed ids -> the pieces of at most ``capacity`` ids."""
+def piece_column(spark: SparkSession, path: str, capacity: int, end_id: int | None = 0):
+    """A column function: text -> its pieces of at most ``capacity`` ids."""
+    file = VocabFile(spark, path)
+    end, step = b"" if end_id is None else np.uint32(end_id).tobytes(), 4 * capacity
 
     @F.arrow_udf(PIECES)
-    def cut(packed: pa.Array) -> pa.Array:
-        step, rows = 4 * capacity, []
-        for ids in packed.to_pylist():
-            rows.append([
-                {"piece": n, "start": i // 4, "length": len(ids[i : i + step]) // 4, "ids_crc32": zlib.crc32(ids[i : i + step])}
-                for n, i in enumerate(range(0, len(ids), step))
-            ])
-        kind = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
-        return pa.array(rows, kind)
+    def cut(texts: pa.Array) -> pa.Array:
+        bpe = file.parsed(WordEndBpe)
+        ends, piece, start, length, crc = [0], [], [], [], []
+        for text in texts:
+            ids = bpe.encode(text.as_py() or "") + end
+            for n, i in enumerate(range(0, len(ids), step)):
+                part = ids[i : i + step]
+                piece.append(n)
+                start.append(i // 4)
+                length.append(len(part) // 4)
+                crc.append(zlib.crc32(part))
+            ends.append(len(piece))
+        columns = [pa.array(piece, pa.int32()), *(pa.array(c, pa.int64()) for c in (start, length, crc))]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["piece", "start", "length", "ids_crc32"]))
 
     return cut
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int | None = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: the key, piece, start, length, ids_crc32."""
-    encode, cut = token_encoder(docs.sparkSession, path, end_id), piece_cutter(capacity)
-    return (
-        docs.select(F.col(key), encode(F.col(text)).alias("packed"))
-        .select(key, cut("packed").alias("cut"))
-        .select(key, F.inline("cut"))
-    )
+    cut = piece_column(docs.sparkSession, path, capacity, end_id)
+    return docs.select(F.col(key), cut(F.col(text)).alias("cut")).select(key, F.inline("cut"))
 
 
 @dataclass
