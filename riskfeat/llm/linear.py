@@ -122,6 +122,16 @@ def sample_features(docs: DataFrame, rows: DataFrame, ngrams: Ngrams, key: str,
     return got["label_"].to_numpy(), begins, data
 
 
+def numbered(buckets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets in order, and for each given bucket its place among them."""
+    held = np.zeros(1 << bits, bool)
+    held[buckets] = True
+    known = np.flatnonzero(held)
+    place = np.zeros(1 << bits, np.int32)
+    place[known] = np.arange(len(known))
+    return known, place[buckets]
+
+
 def score_column(spark, model: Linear):
     """A column function: text -> score from 0 to 1."""
     shared = spark.sparkContext.broadcast(model)

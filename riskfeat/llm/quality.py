@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskfeat.llm.frames import learn_rows, remainder
-from riskfeat.llm.linear import Linear, Ngrams, sample_features, score_column
+from riskfeat.llm.linear import Linear, Ngrams, numbered, sample_features, score_column
 
-SAMPLE = 16_000
+SAMPLE = 12_000
 NGRAMS = Ngrams(bits=22, lower=False, repeats=True)
 
 
@@ -84,7 +84,7 @@ def sigmoid_fit(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit_arrays(y: np.ndarray, begins: np.ndarray, buckets: np.ndarray, ngrams: Ngrams = NGRAMS, cost: float = 10.0) -> Linear:
     if len(y) == 0 or y.min() == y.max() or np.bincount(y, minlength=2).min() < 5:
         return constant(float(y.mean()) if len(y) else 0.5, ngrams)
-    known, place = np.unique(buckets, return_inverse=True)
+    known, place = numbered(buckets, ngrams.bits)
     fitted = np.random.default_rng(3).random(len(y)) < 0.8
     parts = {}
     for name, mask in (("fit", fitted), ("rest", ~fitted)):

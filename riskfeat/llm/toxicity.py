@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskfeat.llm.frames import learn_rows, remainder
-from riskfeat.llm.linear import Linear, Ngrams, sample_features, score_column
+from riskfeat.llm.linear import Linear, Ngrams, numbered, sample_features, score_column
 
-SAMPLE = 16_000
+SAMPLE = 12_000
 NGRAMS = Ngrams(bits=22, skips=1)
 
 
@@ -58,7 +58,7 @@ def fit_arrays(y: np.ndarray, begins: np.ndarray, buckets: np.ndarray, ngrams: N
     if len(y) == 0 or y.min() == y.max():
         share = min(max(float(y.mean()) if len(y) else 0.5, 1e-6), 1 - 1e-6)
         return Linear(ngrams, np.zeros(0, np.int64), np.zeros(0, np.float32), float(np.log(share / (1 - share))))
-    known, place = np.unique(buckets, return_inverse=True)
+    known, place = numbered(buckets, ngrams.bits)
     state, order = Ftrl(len(known)), np.random.default_rng(seed)
     for _ in range(rounds):
         for i in order.permutation(len(y)):
