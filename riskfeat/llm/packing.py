@@ -36,7 +36,7 @@ from riskfeat.llm.bpe import byte_letters
 from riskfeat.llm.vocab import VocabFile, WordCache
 from riskfeat.session import materialize
 
-SALTS = 256
+SALTS = 64
 LETTERS = byte_letters()
 PIECES = "array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
 
@@ -47,7 +47,7 @@ COMMON_WORDS = re.compile(r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
 class WordEndBpe:
-    """Ids of a lower-casing BPE tokenizer with word ends, word by word from a cache."""
+    """Ids of a lower-casing BPE tokenizer with word ends, from caches of words and of what white space divides."""
 
     def __init__(self, text: str):
         tokenizer = Tokenizer.from_str(text)
@@ -56,18 +56,23 @@ class WordEndBpe:
         self.model = tokenizer.model
         self.whole = lambda t: np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
         self.special = [t["content"] for t in json.loads(text)["added_tokens"]]
-        self.cache = WordCache(self.word)
+        self.words, self.chunks = WordCache(self.word), WordCache(self.chunk, size=400_000)
 
     def word(self, word: str) -> bytes:
         """One word goes straight to the merges, its bytes as the vocabulary's letters."""
         letters = word if word.isascii() and word.isprintable() else "".join(map(LETTERS.__getitem__, word.encode()))
         return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
+    def chunk(self, chunk: str) -> bytes:
+        """What stands between white space, which no word crosses."""
+        return b"".join(map(self.words.__getitem__, COMMON_WORDS.findall(chunk)))
+
     def encode(self, text: str) -> bytes:
-        self.cache.trim()
+        self.words.trim()
+        self.chunks.trim()
         if UNCOMMON.search(text) or any(s in text for s in self.special):
             return self.whole(text)
-        return b"".join(map(self.cache.__getitem__, COMMON_WORDS.findall(text.lower())))
+        return b"".join(map(self.chunks.__getitem__, text.lower().split()))
 
 
 def token_encoder(spark: SparkSession, path: str, end_id: int | None = 0):
