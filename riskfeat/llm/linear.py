@@ -102,7 +102,7 @@ class Linear:
         used, weights, *scales = self.tables
         out = np.empty(len(texts))
         for first, n, text, bucket in self.ngrams.blocks(texts, used):
-            margin = np.bincount(text, weights[bucket], n)
+            margin = np.bincount(text, weights[bucket], n).astype(float)
             if scales:
                 margin /= np.sqrt(np.maximum(np.bincount(text, scales[0][bucket].astype(float) ** 2, n), 1e-12))
             out[first : first + n] = margin + self.bias
