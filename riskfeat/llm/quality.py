@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from riskfeat.llm.frames import learn_rows, remainder
 from riskfeat.llm.linear import Linear, Ngrams, numbered, sample_features, score_column
 
-SAMPLE = 12_000
+SAMPLE = 8_000
 NGRAMS = Ngrams(bits=22, lower=False, repeats=True)
 
 
