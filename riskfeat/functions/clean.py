@@ -115,4 +115,4 @@ def smoothed_ratio(a: ColumnOrName, b: ColumnOrName, smooth: float = 0.01) -> Co
 
 
 def fixed_decimals(c: ColumnOrName, digits: int = 4) -> Column:
-    return F.format_string(f"%.{digits}f", as_col(c))
+    return F.when(as_col(c).isNotNull(), F.format_string(f"%.{digits}f", as_col(c)))

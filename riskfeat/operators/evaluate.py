@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,21 +48,23 @@ def with_fold(df: DataFrame, key: str, folds: int, seed: int, name: str = "fold"
 
 
 def auc(
-    df: DataFrame, label: str, score: str, by: str | list[str] | None = None, buckets: int = 256
+    df: DataFrame, label: str, score: str, by: str | list[str] | None = None, buckets: int | None = None
 ) -> DataFrame:
     """Exact area under the ROC curve, ties counted half; one row per ``by``.
 
-    Equal scores are summed first, so a hot score is one row. Score order is
+    Rows without a score or label, NaN included, do not count; infinite scores rank
+    first and last. Equal scores are summed first, so a hot score is one row. Score order is
     then found bucket by bucket: cut points from approximate quantiles spread
     the work and do not affect the result. Only the bucket totals (at most
-    ``buckets`` rows per group) meet in one window.
+    ``buckets`` rows per group, by default four per shuffle partition) meet in one window.
     """
+    buckets = buckets or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = [by] if isinstance(by, str) else list(by or [])
     scored = df.select(
         *groups, F.col(score).cast("double").alias("score"), F.col(label).cast("int").alias("label")
-    ).where(F.col("score").isNotNull() & F.col("label").isNotNull())
+    ).where(F.col("score").isNotNull() & ~F.isnan("score") & F.col("label").isNotNull())
     probabilities = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(scored.approxQuantile("score", probabilities, 0.25 / buckets)))
+    cuts = sorted({c for c in scored.approxQuantile("score", probabilities, 0.25 / buckets) if math.isfinite(c)})
     if not cuts:
         cuts = [0.0]
     counted = scored.groupBy(*groups, "score").agg(
@@ -88,11 +92,13 @@ def auc(
 
 
 def _scaled(c: Column, low: Column, high: Column) -> Column:
-    return F.coalesce((c - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0))
+    """A missing score stays missing; 0 where all scores are equal."""
+    return F.when(c.isNotNull(), F.coalesce((c - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0)))
 
 
 def min_max_scale(df: DataFrame, score: str, name: str) -> DataFrame:
-    """``name`` = score scaled to [0, 1] over the whole table; constant scores give 0."""
+    """``name`` = score scaled to [0, 1] over the whole table; constant scores give 0.
+    A missing score stays missing."""
     ends = df.agg(F.min(score).alias("low"), F.max(score).alias("high"))
     return df.withColumn(
         name, _scaled(F.col(score), ends.select("low").scalar(), ends.select("high").scalar())
@@ -108,7 +114,10 @@ def min_max_scale_by(df: DataFrame, by: list[str], scores: list[str], max_batche
     ends = df.groupBy(*by).agg(*[
         f(s).alias(f"{s}__{n}") for s in scores for n, f in (("low", F.min), ("high", F.max))
     ])
-    joined = df.join(fit_table(ends, max_batches).join_side(), by, "left")
+    side = fit_table(ends, max_batches).join_side()
+    side = side.select(*(F.col(b).alias(f"{b}__batch") for b in by), *(c for c in side.columns if c not in by))
+    same = [F.col(b).eqNullSafe(F.col(f"{b}__batch")) for b in by]  # rows without a batch are one batch
+    joined = df.join(side, same, "left")
     return joined.select([
         _scaled(F.col(c), F.col(f"{c}__low"), F.col(f"{c}__high")).alias(c) if c in scores else F.col(c)
         for c in df.columns

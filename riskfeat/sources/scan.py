@@ -17,14 +17,17 @@ from riskfeat.sources.schema import (
 )
 
 
-def scan_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def scan_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
     """CSV with a header, columns found by name.
 
     Every column is read as text, so a bad cell spoils itself and not its row;
     missing marks become NULL and typed columns are then cast, bad text to NULL.
-    The file may hold more columns, in any order.
+    The file may hold more columns, in any order. A quote within quotes is doubled.
+    ``multi_line`` allows line breaks within quotes; such a file is read by one task, so
+    switch it off for large files that have none.
     """
-    header = spark.read.option("header", True).csv(path)
+    options = {"header": True, "quote": '"', "escape": '"', "multiLine": multi_line}
+    header = spark.read.options(**options).csv(path)
     out = []
     for field in schema.fields:
         if field.name not in header.columns:

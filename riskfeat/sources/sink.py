@@ -15,4 +15,4 @@ def write_features(df: DataFrame, path: str, partition_by: str | None = "split")
 
 def write_scores(df: DataFrame, path: str) -> None:
     """CSV parts with a header, written by all tasks at once."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(header=True, quote='"', escape='"').csv(path)

@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from riskfeat.operators import aggregate as agg
@@ -322,3 +323,29 @@ def test_score_file_by_key(spark):
     scores = spark.createDataFrame([(1, 0.2), (2, 0.6), (3, 0.4), (4, 9.0)], "id int, s double")
     got = {r.id: r.PROB for r in evaluate.score_file(people, scores, "s").collect()}
     assert got == {1: "0.0000", 2: "1.0000", 3: "0.5000"}
+
+
+def test_missing_scores_stay_missing(spark):
+    df = spark.createDataFrame([(1, None, 0.2), (2, None, None), (3, None, 0.7), (4, "a", 0.5)], "id int, b string, p double")
+    assert [r.s for r in evaluate.min_max_scale(df, "p", "s").orderBy("id").collect()][1] is None
+    by = {r.id: r.p for r in evaluate.min_max_scale_by(df, ["b"], ["p"]).collect()}
+    assert by == {1: 0.0, 2: None, 3: 1.0, 4: 0.0}
+    assert {r.id: r.PROB for r in evaluate.format_scores(df, "p").collect()}[2] is None
+
+
+def test_auc_of_odd_scores(spark):
+    rows = [(0, float("-inf")), (0, 0.1), (1, 0.4), (1, float("inf")), (1, float("nan")), (0, None)]
+    assert evaluate.auc(spark.createDataFrame(rows, "y int, p double"), "y", "p").first().auc == 1.0
+
+
+def test_csv_quotes_and_line_breaks(spark, tmp_path):
+    import csv
+
+    from riskfeat.sources.scan import scan_csv
+
+    rows = [["1", 'Main "St", 5', "7"], ["2", "two\nlines", "8"], ["3", "", "9"]]
+    with open(tmp_path / "a.csv", "w", newline="") as file:
+        csv.writer(file).writerows([["id", "region", "n"], *rows])
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("region", T.StringType()), T.StructField("n", T.LongType())])
+    got = {r.id: (r.region, r.n) for r in scan_csv(spark, str(tmp_path / "a.csv"), schema).collect()}
+    assert got == {1: ('Main "St", 5', 7), 2: ("two\nlines", 8), 3: (None, 9)}
