@@ -194,12 +194,26 @@ def _(spark, folder):
 # ---- scorers; learned scores have no SQL form
 
 def _documents(spark, folder):
-    return materialize(with_fold(labelled_documents(spark, folder), "id", est.STACK_FOLDS, est.STACK_SEED))
+    return materialize(with_fold(scored_documents(spark, folder), "id", est.STACK_FOLDS, est.STACK_SEED))
 
 
 DOCUMENT_KEYS = ["id", "split", "target", "fold"]
 
 
+def scored_documents(spark, folder):
+    """All documents: the labelled ones to learn from, the rest and one seventh to score."""
+    learnt = labelled_documents(spark, folder).where("split = 'train'").select("id", "target")
+    documents = src.table(spark, folder, "documents").select(
+        F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("n_chars"), "lang", "source",
+    )
+    return documents.join(learnt, "id", "left").select(
+        "id", F.when(F.col("target").isNull(), "test").otherwise("train").alias("split"),
+        F.coalesce("target", F.lit(-1)).alias("target"), F.coalesce("n_chars", F.lit(0.0)).alias("n_chars"),
+        *[F.coalesce(c, F.lit("0")).alias(c) for c in ("lang", "source")],
+    )
+
+
+
 def _document_matrix(spark, folder, codes=False):
     rows = _documents(spark, folder)
     names = ["lang", "source"]
@@ -258,7 +272,7 @@ def _(spark, folder):
 
 @query("score_anchored")
 def _(spark, folder):
-    return jobs.score_single(materialize(anchored_features(spark, folder)), jobs.ANCHORED, TRIAL_ROUNDS)
+    return jobs.score_single(materialize(anchored_features(spark, folder, None)), jobs.ANCHORED, TRIAL_ROUNDS, START)
 
 
 @query("validate_wide")
@@ -268,7 +282,7 @@ def _(spark, folder):
 
 @query("validate_anchored")
 def _(spark, folder):
-    return jobs.validate_single(materialize(anchored_features(spark, folder)), jobs.ANCHORED, CUT, TRIAL_ROUNDS)
+    return jobs.validate_single(materialize(anchored_features(spark, folder, None)), jobs.ANCHORED, CUT, TRIAL_ROUNDS)
 
 
 @query("validate_logistic")

@@ -18,7 +18,6 @@ from riskfeat.operators.encode import (
     assemble_vector,
     fit_vocabulary,
     label_counts,
-    ranked_values,
 )
 from riskfeat.operators.evaluate import (
     auc,
@@ -176,20 +175,11 @@ def _(spark, folder):
     )
 
 
-# arrays of at most about this many values per row: some keys here need several rows
-SET_SIZE = 6
-
-
-@query("agg_collect_set", with_tables("bankcard", f"""
-WITH pairs AS (SELECT DISTINCT id, phone FROM bankcard WHERE phone IS NOT NULL),
-parts AS (SELECT id, CAST(ceil(COUNT(*) / {SET_SIZE}.0) AS BIGINT) AS parts FROM pairs GROUP BY id),
-spread AS (SELECT pairs.id, phone,
-  CAST(CAST('0x' || substr(md5(phone), 1, 8) AS BIGINT) % parts AS INTEGER) AS part
-  FROM pairs JOIN parts ON pairs.id = parts.id)
-SELECT id, part, string_agg(phone, ',' ORDER BY phone) AS phones FROM spread GROUP BY id, part"""))
+@query("agg_collect_set", with_tables("bankcard", """
+SELECT DISTINCT id, bank_name FROM bankcard WHERE bank_name IS NOT NULL"""))
 def _(spark, folder):
-    sets = agg.value_sets(src.bankcard(spark, folder), "id", "phone", "phones", max_values=SET_SIZE)
-    return sets.withColumn("phones", F.array_join("phones", ","))
+    """The set per key as rows, one grain at every size."""
+    return agg.value_pairs(src.bankcard(spark, folder), "id", "bank_name")
 
 
 @query("agg_value_pairs", with_tables("bankcard", "SELECT DISTINCT id, phone FROM bankcard WHERE phone IS NOT NULL"))
@@ -363,15 +353,16 @@ def _(spark, folder):
 @query("label_encode_large", """
 SELECT c_name AS value, DENSE_RANK() OVER (ORDER BY c_name) - 1 AS code FROM customer""")
 def _(spark, folder):
-    return ranked_values(src.table(spark, folder, "customer"), "c_name").select("value", "code")
+    names = src.table(spark, folder, "customer").select(F.col("c_name").alias("value"), F.col("c_name").alias("code"))
+    return LabelCodes.fit(names, ["code"]).transform(names)
 
 
 @query("fit_vocabulary", """
-SELECT 'o_orderpriority' AS name, COUNT(DISTINCT o_orderpriority) AS n FROM orders
-UNION ALL SELECT 'o_orderstatus', COUNT(DISTINCT o_orderstatus) FROM orders""")
+SELECT DISTINCT 'o_orderpriority' AS name, o_orderpriority AS value FROM orders WHERE o_orderpriority IS NOT NULL
+UNION ALL SELECT DISTINCT 'o_orderstatus', o_orderstatus FROM orders WHERE o_orderstatus IS NOT NULL""")
 def _(spark, folder):
     found = fit_vocabulary(src.table(spark, folder, "orders"), ["o_orderpriority", "o_orderstatus"])
-    return spark.createDataFrame([(name, len(values)) for name, values in found.items()], "name string, n bigint")
+    return spark.createDataFrame([(name, v) for name, values in found.items() for v in values], "name string, value string")
 
 
 @query("assemble_vector", with_tables("credit", """

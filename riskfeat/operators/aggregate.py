@@ -45,10 +45,23 @@ def count_where(condition: Column) -> Column:
     return F.count_if(condition)
 
 
+def value_columns(prefix: str, values: list[str]) -> list[str]:
+    """One column name per value: the prefix and the value, with any sign but letters, digits
+    and ``_`` as its code point; where two would differ in case only, the later one is numbered."""
+    names: list[str] = []
+    for i, value in enumerate(values):
+        name = prefix + "".join(x if x.isalnum() or x == "_" else f"_{ord(x):x}_" for x in value)
+        while name.lower() in {n.lower() for n in names}:
+            name = f"{name}_{i}"
+        names.append(name)
+    return names
+
+
 def crosstab(c: ColumnOrName, values: Iterable[str], prefix: str) -> dict[str, Column]:
     """One zero-filled count per listed value, to be put beside other features."""
     c = as_col(c)
-    return {f"{prefix}{v}": F.count_if(c == v) for v in values}
+    values = list(values)
+    return {name: F.count_if(c == v) for name, v in zip(value_columns(prefix, values), values)}
 
 
 def before_after(
@@ -89,25 +102,3 @@ def value_pairs(df: DataFrame, key: str, value: str) -> DataFrame:
     fit in one task.
     """
     return df.select(key, value).where(F.col(value).isNotNull()).distinct()
-
-
-def value_sets(
-    df: DataFrame, key: str, value: str, name: str, max_values: int = 10_000
-) -> DataFrame:
-    """The set of values per key as sorted arrays.
-
-    A key with up to ``max_values`` distinct values gives one row, part 0. A
-    larger set is spread over several rows (part 0, 1, ...) by a hash of the
-    value, so no array grows with the data and no value is lost.
-    """
-    pairs = value_pairs(df, key, value)
-    parts = pairs.groupBy(key).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(max_values)).cast("int").alias("parts")
-    )
-    spread = F.conv(F.substring(F.md5(F.col(value).cast("string")), 1, 8), 16, 10).cast("bigint")
-    return (
-        pairs.join(parts, key)
-        .withColumn("part", F.pmod(spread, F.col("parts")).cast("int"))
-        .groupBy(key, "part")
-        .agg(F.array_sort(F.collect_list(value)).alias(name))
-    )

@@ -8,18 +8,27 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskfeat.functions.clean import ColumnOrName, as_col
-from riskfeat.operators.lookup import MAX_BROADCAST_ROWS, FittedTable, fit_table
+from riskfeat.operators.aggregate import value_columns
 from riskfeat.session import materialize
 
 # As Spark's own pivot: a wider result has no sensible column list.
 MAX_COLUMNS = 10_000
 
 
+def column_values(df: DataFrame, named: dict[str, Column]) -> DataFrame:
+    """``(column, value)``: the distinct non-null texts of each named column, in one pass."""
+    pairs = F.array(*[
+        F.struct(F.lit(name).alias("column"), c.cast("string").alias("value")) for name, c in named.items()
+    ])
+    found = df.select(F.explode(pairs).alias("pair")).select("pair.column", "pair.value")
+    return found.where(F.col("value").isNotNull()).distinct()
+
+
 def fit_vocabulary(
     df: DataFrame, columns: dict[str, Column] | list[str], max_values: int = MAX_COLUMNS
 ) -> dict[str, list[str]]:
@@ -29,13 +38,7 @@ def fit_vocabulary(
     larger vocabulary than ``max_values`` in all raises: it cannot become columns.
     """
     named = columns if isinstance(columns, dict) else {c: F.col(c) for c in columns}
-    pairs = df.select(
-        F.explode(F.array(*[
-            F.struct(F.lit(name).alias("column"), c.cast("string").alias("value"))
-            for name, c in named.items()
-        ])).alias("pair")
-    ).select("pair.column", "pair.value").where(F.col("value").isNotNull()).distinct()
-    rows = pairs.limit(max_values + 1).collect()
+    rows = column_values(df, named).limit(max_values + 1).collect()
     if len(rows) > max_values:
         raise ValueError(f"more than {max_values} distinct values in {list(named)}")
     found: dict[str, list[str]] = {name: [] for name in named}
@@ -55,19 +58,21 @@ class OneHot:
         return cls(fit_vocabulary(df, columns))
 
     def columns(self) -> list[str]:
-        return [f"{c}_{v}" for c, values in self.vocabulary.items() for v in values]
+        return value_columns("", [f"{c}_{v}" for c, values in self.vocabulary.items() for v in values])
 
     def transform(self, df: DataFrame) -> DataFrame:
         kept = [F.col(c) for c in df.columns if c not in self.vocabulary]
+        pairs = [(c, v) for c, values in self.vocabulary.items() for v in values]
         flags = [
-            F.coalesce(F.col(c).cast("string") == v, F.lit(False)).cast("int").alias(f"{c}_{v}")
-            for c, values in self.vocabulary.items() for v in values
+            F.coalesce(F.col(c).cast("string") == v, F.lit(False)).cast("int").alias(name)
+            for (c, v), name in zip(pairs, self.columns())
         ]
         return df.select(kept + flags)
 
 
-def ranked_values(df: DataFrame, column: str) -> DataFrame:
-    """Distinct values with their 0-based rank, for vocabularies of any size.
+def ranked_values(df: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, int]]:
+    """``(column, value, code)``, the distinct texts of each column with their 0-based
+    rank, for vocabularies of any size; and the number of values of each column.
 
     Range partitioned and sorted within partitions, so the rank is the local
     position plus the sizes of the partitions before. The sorted table is
@@ -75,70 +80,82 @@ def ranked_values(df: DataFrame, column: str) -> DataFrame:
     """
     local_bits = F.lit((1 << 33) - 1).cast("bigint")
     ordered = materialize(
-        df.select(F.col(column).alias("value")).where(F.col("value").isNotNull()).distinct()
-        .repartitionByRange("value").sortWithinPartitions("value")
+        column_values(df, {c: F.col(c) for c in columns})
+        .repartitionByRange("column", "value").sortWithinPartitions("column", "value")
         .select(
-            "value", F.spark_partition_id().alias("block"),
+            "column", "value", F.spark_partition_id().alias("block"),
             F.monotonically_increasing_id().bitwiseAND(local_bits).alias("position"),
         )
     )
-    # one row per partition: bounded by the shuffle width, not by the data
-    sizes = sorted(ordered.groupBy("block").count().collect())
-    offsets, total = [], 0
-    for block, size in sizes:
-        offsets.append((block, total))
-        total += size
-    blocks = df.sparkSession.createDataFrame(offsets, "block int, start bigint")
-    return ordered.join(F.broadcast(blocks), "block").select(
-        "value", (F.col("start") + F.col("position")).alias("code")
+    # one row per partition and column: bounded by the shuffle width, not by the data
+    parts = ordered.groupBy("block", "column").agg(F.count(F.lit(1)), F.min("position")).collect()
+    offsets, totals = [], dict.fromkeys(columns, 0)
+    for block, column, size, first in sorted(parts):
+        offsets.append((block, column, totals[column] - first))
+        totals[column] += size
+    blocks = df.sparkSession.createDataFrame(offsets, "block int, column string, start bigint")
+    ranked = ordered.join(F.broadcast(blocks), ["block", "column"]).select(
+        "column", "value", (F.col("start") + F.col("position")).alias("code")
     )
+    return ranked, totals
 
 
 @dataclass(frozen=True)
 class LabelCodes:
-    """Ordinal codes by sorted vocabulary; unseen and missing values give NULL."""
+    """Ordinal codes by sorted vocabulary; unseen and missing values give NULL.
 
-    vocabulary: dict[str, list[str]]
-    tables: dict[str, FittedTable]
+    One path at every size: the codes are a saved table that is joined by value,
+    and Spark picks the join from the size of that table.
+    """
+
+    codes: DataFrame
+    sizes: dict[str, int]
 
     @classmethod
-    def fit(cls, df: DataFrame, columns: list[str], max_values: int = 1_000) -> LabelCodes:
-        """A vocabulary of up to ``max_values`` becomes literals, a larger one a table."""
-        try:
-            return cls(fit_vocabulary(df, columns, max_values), {})
-        except ValueError:
-            pass  # some column is large: find out which
-        vocabulary, tables = {}, {}
-        for c in columns:
-            try:
-                vocabulary.update(fit_vocabulary(df, [c], max_values))
-            except ValueError:
-                tables[c] = fit_table(ranked_values(df.select(F.col(c).cast("string").alias(c)), c))
-        return cls(vocabulary, tables)
+    def fit(cls, df: DataFrame, columns: list[str]) -> LabelCodes:
+        ranked, sizes = ranked_values(df, columns)
+        return cls(materialize(ranked), sizes)
 
     def transform(self, df: DataFrame, as_category: bool = False) -> DataFrame:
-        """Codes as integers, or as doubles that tree learners take for categories.
-
-        A column coded by a table has too many values for that and stays ordinal.
-        """
+        """Codes as integers, or as doubles that tree learners take for categories."""
         order = df.columns
-        for column, fitted in self.tables.items():
-            codes = fitted.join_side().select(F.col("value").alias(column), F.col("code").alias("__code"))
-            df = df.withColumn(column, F.col(column).cast("string")).join(codes, column, "left")
-            df = df.drop(column).withColumnRenamed("__code", column)
-        return df.select([
-            self._code(c, as_category) if c in self.vocabulary else F.col(c) for c in order
-        ])
+        for column in self.sizes:
+            side = self.codes.where(F.col("column") == column).select(
+                F.col("value").alias("__value"), F.col("code").alias("__code")
+            )
+            joined = df.join(side, F.col(column).cast("string") == F.col("__value"), "left")
+            df = joined.select([self._code(c, as_category) if c == column else F.col(c) for c in order])
+        return df
 
     def _code(self, column: str, as_category: bool) -> Column:
-        values = self.vocabulary[column]
-        position = F.array_position(F.array(*[F.lit(v) for v in values]), F.col(column).cast("string"))
-        code = F.when(position > 0, position - 1).cast("bigint")
         if not as_category:
-            return code.alias(column)
+            return F.col("__code").alias(column)
         # the vector assembler keeps this mark on double columns only
-        nominal = {"ml_attr": {"type": "nominal", "name": column, "vals": values}}
-        return code.cast("double").alias(column, metadata=nominal)
+        return F.col("__code").cast("double").alias(column, metadata=nominal(column, self.sizes[column]))
+
+
+def nominal(column: str, size: int) -> dict:
+    """The mark by which the learners know a category of so many values."""
+    return {"ml_attr": {"type": "nominal", "name": column, "num_vals": size}}
+
+
+def one_hot_vectors(df: DataFrame, sizes: dict[str, int], names: dict[str, str]) -> DataFrame:
+    """A 0/1 vector named ``names[c]`` beside each code column ``c`` of ``sizes[c]`` values.
+
+    The vectors are sparse, so no vocabulary is too large and no column is named after
+    a value. A missing code gives zeros, and so does a column without any value.
+    """
+    sizes = {c: max(n, 1) for c, n in sizes.items()}
+    marked = {c: f"{c}__marked" for c in sizes}
+    out = df.select("*", *[
+        # one past the codes, which the encoder keeps as the category it drops
+        F.coalesce(F.col(c).cast("double"), F.lit(float(n))).alias(marked[c], metadata=nominal(c, n))
+        for c, n in sizes.items()
+    ])
+    encoder = OneHotEncoder(
+        inputCols=list(marked.values()), outputCols=[names[c] for c in sizes], handleInvalid="keep", dropLast=True
+    )
+    return encoder.fit(out).transform(out).drop(*marked.values())
 
 
 def label_counts(label: ColumnOrName) -> dict[str, Column]:
@@ -161,7 +178,7 @@ class LabelRates:
     """
 
     category: str
-    fitted: FittedTable
+    fitted: DataFrame
     unseen: float | None = None
     fold: str | None = None
 
@@ -169,15 +186,15 @@ class LabelRates:
     def fit(
         cls, events: DataFrame, labelled: DataFrame, key: str, category: str, label: str,
         smooth: float = 0.1, unseen: float | str | None = None, fold: str | None = None,
-        folds: int = 5, max_rows: int = MAX_BROADCAST_ROWS,
+        folds: int = 5,
     ) -> LabelRates:
         """``unseen`` may be a number, None, or "global" for the overall odds."""
         cols = [key, label] + ([fold] if fold else [])
         seen = events.select(key, category).join(labelled.select(*cols), key)
         groups = [category] + ([fold] if fold else [])
-        counts = seen.where(F.col(category).isNotNull()).groupBy(*groups).agg(
-            *[c.alias(n) for n, c in label_counts(label).items()]
-        )
+        # a missing category has no rate, but counts for the overall odds
+        every = materialize(seen.groupBy(*groups).agg(*[c.alias(n) for n, c in label_counts(label).items()]))
+        counts = every.where(F.col(category).isNotNull())
         if fold:
             # every fold needs the rate of every category, seen in that fold or not
             grid = counts.groupBy(category).agg(
@@ -188,16 +205,18 @@ class LabelRates:
                 (F.col("all0") - F.coalesce("n0", F.lit(0))).alias("n0"),
                 (F.col("all1") - F.coalesce("n1", F.lit(0))).alias("n1"),
             )
-        fitted = fit_table(counts.select(*groups, smoothed_odds("n1", "n0", smooth).alias("rate")), max_rows)
+        fitted = counts.select(*groups, smoothed_odds("n1", "n0", smooth).alias("rate"))
+        if fold:
+            fitted = materialize(fitted)
         if unseen == "global":
-            row = seen.agg(*[c.alias(n) for n, c in label_counts(label).items()]).first()
-            unseen = row["n1"] / (row["n0"] + smooth)
+            n1, n0 = every.agg(F.sum("n1"), F.sum("n0")).first()
+            unseen = (n1 or 0) / ((n0 or 0) + smooth)
         return cls(category, fitted, unseen, fold)
 
     def mean_per_key(self, events: DataFrame, key: str, name: str) -> DataFrame:
         """Mean rate over the rows of each key."""
         groups = [self.category] + ([self.fold] if self.fold else [])
-        joined = events.select(key, *groups).join(self.fitted.join_side(), groups, "left")
+        joined = events.select(key, *groups).join(self.fitted, groups, "left")
         rate = F.col("rate")
         if self.unseen is not None:
             rate = F.when(F.col(self.category).isNotNull(), F.coalesce(rate, F.lit(float(self.unseen))))

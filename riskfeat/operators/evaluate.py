@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from riskfeat.functions.clean import ColumnOrName, as_col, fixed_decimals
-from riskfeat.operators.lookup import fit_table
+from riskfeat.session import materialize
 
 
 def temporal_split(df: DataFrame, time: str, cut: str) -> tuple[DataFrame, DataFrame]:
@@ -105,16 +105,16 @@ def min_max_scale(df: DataFrame, score: str, name: str) -> DataFrame:
     )
 
 
-def min_max_scale_by(df: DataFrame, by: list[str], scores: list[str], max_batches: int = 10_000) -> DataFrame:
+def min_max_scale_by(df: DataFrame, by: list[str], scores: list[str]) -> DataFrame:
     """Each score column scaled within its batch.
 
-    Batches are few (models x folds) while rows are many, so the ends are
-    broadcast after their number is checked; the rows do not move.
+    Batches are few (models x folds) while rows are many. The ends are saved, so
+    Spark knows their size when it picks the join.
     """
     ends = df.groupBy(*by).agg(*[
         f(s).alias(f"{s}__{n}") for s in scores for n, f in (("low", F.min), ("high", F.max))
     ])
-    side = fit_table(ends, max_batches).join_side()
+    side = materialize(ends)
     side = side.select(*(F.col(b).alias(f"{b}__batch") for b in by), *(c for c in side.columns if c not in by))
     same = [F.col(b).eqNullSafe(F.col(f"{b}__batch")) for b in by]  # rows without a batch are one batch
     joined = df.join(side, same, "left")

@@ -146,7 +146,7 @@ def feature_table_wide(tables: SourceTables, regions: list[str], fill: bool = Tr
         "exist_phone", "bank_name_len", "tail_num_len", "bank_phone_num",
         "type_pay_zaixian", "type_pay_huodao",
         *flags.BIRTHDAY_LITERALS, "is_hou_in",
-        *[f"region_{r}" for r in regions], "fix_phone_count", "fix_phone_unique",
+        *agg.value_columns("region_", regions), "fix_phone_count", "fix_phone_unique",
         flags.present("hobby").alias("is_hobby"), flags.present("user_id_card").alias("is_idcard"),
         flags.present("auth_id_card").alias("auth_idcard"), flags.present("auth_phone").alias("auth_phone"),
         timefeat.floor_days("appl_sbm_tm", "order_time_max").alias("day_order_max"),
@@ -178,6 +178,11 @@ def fit_bank_rates(train: SourceTables, **options) -> LabelRates:
     return LabelRates.fit(train.bankcard, train.application, "id", "bank_name", "target", **options)
 
 
+def since(rows: DataFrame, start: str) -> DataFrame:
+    """All rows but train applications before ``start``."""
+    return rows.where((F.col("split") != "train") | (F.col("appl_sbm_tm") >= F.lit(start).cast("timestamp_ntz")))
+
+
 def feature_table_anchored(
     tables: SourceTables, bank_rates: LabelRates, start: str | None = MATRIX_START, fill: bool = True
 ) -> DataFrame:
@@ -198,8 +203,7 @@ def feature_table_anchored(
     )
     application = tables.application.select(*KEYS)
     if start is not None:
-        kept = (F.col("split") != "train") | (F.col("appl_sbm_tm") >= F.lit(start).cast("timestamp_ntz"))
-        application = application.where(kept)
+        application = since(application, start)
     base = left_star(application, [
         auth, user, credit_columns(tables.credit, inverse=False),
         bankcard_scores(tables.bankcard),

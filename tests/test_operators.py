@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from riskfeat.operators import aggregate as agg
 from riskfeat.operators import assemble, encode, evaluate
-from riskfeat.operators.lookup import fit_table
 
 ANCHOR = datetime(2017, 1, 10)
 
@@ -85,23 +84,6 @@ def test_hot_key_is_split_in_the_join(spark, conf):
         assert rows[key].mean_before == pytest.approx(r.m)
 
 
-def test_value_sets_spread_large_keys_and_lose_nothing(spark):
-    child = hot_child(spark, 20_000, 500)
-    sets = agg.value_sets(child, "id", "value", "values", max_values=100).collect()
-    got = {(r.id, v) for r in sets for v in r["values"]}
-    assert got == {tuple(r) for r in agg.value_pairs(child, "id", "value").collect()}
-    assert sum(len(r["values"]) for r in sets) == len(got)
-    assert max(len(r["values"]) for r in sets) < 300
-    assert all(r["values"] == sorted(r["values"]) for r in sets)
-    small = [r for r in sets if r.id != 7]
-    assert all(r.part == 0 for r in small) and len(small) == len({r.id for r in small})
-
-
-def test_value_sets_default_is_one_row_per_key(spark):
-    df = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, None)], "id int, v string")
-    assert [tuple(r) for r in agg.value_sets(df, "id", "v", "s").collect()] == [(1, 0, ["a", "b"])]
-
-
 def test_crosstab(spark):
     df = spark.createDataFrame([(1, "x"), (1, "x"), (1, "y"), (2, "z")], "id int, c string")
     out = agg.per_key(df, "id", agg.crosstab("c", ["x", "y"], "c_")).orderBy("id").collect()
@@ -176,31 +158,64 @@ def test_vocabulary_too_wide(spark):
         encode.fit_vocabulary(df, ["c"], max_values=10)
 
 
-@pytest.mark.parametrize("max_values", [1000, 1])
-def test_label_codes_small_and_large(spark, max_values):
+def test_label_codes(spark):
     df = spark.createDataFrame(CATEGORIES, "id int, c string, d string")
-    codes = encode.LabelCodes.fit(df, ["c", "d"], max_values)
+    codes = encode.LabelCodes.fit(df, ["c", "d"])
     out = codes.transform(df).orderBy("id")
+    assert out.columns == df.columns
     assert [tuple(r) for r in out.collect()] == [(1, 1, 0), (2, 0, None), (3, 2, 0), (4, None, 1), (5, 0, 1)]
     unseen = spark.createDataFrame([(6, "zz", "x")], "id int, c string, d string")
     assert tuple(codes.transform(unseen).first()) == (6, None, 0)
 
 
-def test_label_codes_mixed(spark):
-    df = spark.range(50).select("id", F.format_string("v%02d", "id").alias("wide"), (F.col("id") % 3).alias("narrow"))
-    codes = encode.LabelCodes.fit(df, ["wide", "narrow"], max_values=10)
-    assert list(codes.tables) == ["wide"] and codes.vocabulary == {"narrow": ["0", "1", "2"]}
-    out = codes.transform(df)
-    assert out.columns == df.columns
-    assert all(r.wide == r.id and r.narrow == r.id % 3 for r in out.collect())
+@pytest.mark.parametrize("n", [10, 1_000, 1_001, 50_000])
+def test_label_codes_are_the_same_at_every_size(spark, n):
+    df = spark.range(n).select(F.format_string("v%05d", "id").alias("wide"), (F.col("id") % 3).alias("narrow"), "id")
+    codes = encode.LabelCodes.fit(df, ["wide", "narrow"])
+    plain, marked = codes.transform(df), codes.transform(df, as_category=True)
+    assert dict(plain.dtypes) == {"wide": "bigint", "narrow": "bigint", "id": "bigint"}
+    assert dict(marked.dtypes) == {"wide": "double", "narrow": "double", "id": "bigint"}
+    assert marked.schema["wide"].metadata == {"ml_attr": {"type": "nominal", "name": "wide", "num_vals": n}}
+    for out in (plain, marked):
+        assert out.where("wide = id and narrow = id % 3").count() == n
+
+
+AWKWARD = ["1.0", "a", "A", "`", "", " ", "x.y", "a_2", None]
+
+
+def test_awkward_values_become_columns(spark):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(AWKWARD)], "id int, c string")
+    hot = encode.OneHot.fit(df, ["c"])
+    out = hot.transform(df)
+    assert len({c.lower() for c in out.columns}) == len(AWKWARD)
+    names = dict(zip(hot.vocabulary["c"], hot.columns()))
+    for r in out.collect():
+        value = AWKWARD[r.id]
+        assert {n for n in names.values() if r[n]} == ({names[value]} if value is not None else set())
+    counts = agg.per_key(df, "id", agg.crosstab("c", hot.vocabulary["c"], "c_"))
+    assert sum(sum(tuple(r)[1:]) for r in counts.collect()) == len(AWKWARD) - 1
+
+
+@pytest.mark.parametrize("values", [AWKWARD, [f"v{i:05d}" for i in range(20_000)], [None]])
+def test_one_hot_vectors_take_any_value(spark, values):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, c string")
+    codes = encode.LabelCodes.fit(df, ["c"])
+    out = encode.one_hot_vectors(codes.transform(df, as_category=True), codes.sizes, {"c": "hot"})
+    assert out.columns == ["id", "c", "hot"]
+    rank = {v: i for i, v in enumerate(sorted(v for v in set(values) if v is not None))}
+    for r in out.collect():
+        place = rank.get(values[r.id])
+        assert r.hot.size == max(len(rank), 1)
+        assert list(r.hot.indices) == ([] if place is None else [place]) and all(x == 1 for x in r.hot.values)
 
 
 def test_ranked_values(spark):
     values = [f"v{i:05d}" for i in range(3000)]
     random.Random(1).shuffle(values)
     df = spark.createDataFrame([(v,) for v in values * 2], "v string").repartition(7)
-    got = {r.value: r.code for r in encode.ranked_values(df, "v").collect()}
-    assert got == {v: i for i, v in enumerate(sorted(set(values)))}
+    ranked, sizes = encode.ranked_values(df, ["v"])
+    got = {r.value: r.code for r in ranked.collect()}
+    assert got == {v: i for i, v in enumerate(sorted(set(values)))} and sizes == {"v": 3000}
 
 
 def rate_inputs(spark):
@@ -211,11 +226,9 @@ def rate_inputs(spark):
     return events, labelled
 
 
-@pytest.mark.parametrize("max_rows", [100, 1])
-def test_label_rates(spark, max_rows):
+def test_label_rates(spark):
     events, labelled = rate_inputs(spark)
-    rates = encode.LabelRates.fit(events, labelled, "id", "bank", "target", max_rows=max_rows)
-    assert rates.fitted.small == (max_rows == 100)
+    rates = encode.LabelRates.fit(events, labelled, "id", "bank", "target")
     got = {r.id: r.m for r in rates.mean_per_key(events, "id", "m").collect()}
     a, b = 2 / 1.1, 1 / 1.1
     expected = {1: (a + b) / 2, 2: a, 3: b, 4: a, 9: a, 8: None, 7: None}
@@ -228,13 +241,13 @@ def test_hot_category_is_split_in_a_large_rate_join(spark, conf):
     events = spark.range(120_000).repartition(6).select(
         (i % 9000).alias("id"), F.when(i % 3 == 0, "hot").otherwise(F.format_string("b%05d", i % 4000)).alias("bank"))
     labelled = spark.range(9000).select("id", (F.col("id") % 4 == 0).cast("int").alias("target"))
-    large = encode.LabelRates.fit(events, labelled, "id", "bank", "target", max_rows=10)
+    large = encode.LabelRates.fit(events, labelled, "id", "bank", "target")
     out = large.mean_per_key(events, "id", "m")
     got = {r.id: r.m for r in out.collect()}
-    assert not large.fitted.small and "skew=true" in plan_of(out)
-    small = encode.LabelRates.fit(events, labelled, "id", "bank", "target")
-    expected = {r.id: r.m for r in small.mean_per_key(events, "id", "m").collect()}
-    assert small.fitted.small and got == pytest.approx(expected)
+    assert "skew=true" in plan_of(out)
+    conf(spark__sql__autoBroadcastJoinThreshold="10MB")
+    expected = {r.id: r.m for r in large.mean_per_key(events, "id", "m").collect()}
+    assert got == pytest.approx(expected)
 
 
 def test_label_rates_unseen(spark):
@@ -258,12 +271,6 @@ def test_label_rates_out_of_fold(spark):
     assert b1  # bank B of fold 1 has no event to rate
 
 
-def test_fit_table_checks_size(spark):
-    small, large = fit_table(spark.range(5), 5), fit_table(spark.range(6), 5)
-    assert small.small and not large.small
-    assert small.table.count() == 5 and large.table.count() == 6
-
-
 # ---- evaluation
 
 def brute_auc(rows):
