@@ -213,14 +213,19 @@ class LabelRates:
             unseen = (n1 or 0) / ((n0 or 0) + smooth)
         return cls(category, fitted, unseen, fold)
 
-    def mean_per_key(self, events: DataFrame, key: str, name: str) -> DataFrame:
-        """Mean rate over the rows of each key."""
+    def add_rate(self, events: DataFrame, name: str = "rate") -> DataFrame:
+        """The rows with the rate of each one's category, to be averaged beside other features."""
         groups = [self.category] + ([self.fold] if self.fold else [])
-        joined = events.select(key, *groups).join(self.fitted, groups, "left")
+        joined = events.join(self.fitted, groups, "left")
         rate = F.col("rate")
         if self.unseen is not None:
             rate = F.when(F.col(self.category).isNotNull(), F.coalesce(rate, F.lit(float(self.unseen))))
-        return joined.groupBy(key).agg(F.avg(rate).alias(name))
+        return joined.select(*events.columns, rate.alias(name))
+
+    def mean_per_key(self, events: DataFrame, key: str, name: str) -> DataFrame:
+        """Mean rate over the rows of each key."""
+        groups = [self.category] + ([self.fold] if self.fold else [])
+        return self.add_rate(events.select(key, *groups), name).groupBy(key).agg(F.avg(name).alias(name))
 
 
 def assemble_vector(df: DataFrame, keep: list[str], out: str = "features") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskfeat.functions import clean, flags, timefeat
 from riskfeat.operators import aggregate as agg
-from riskfeat.operators.assemble import fill_zero, left_star, member_keys, prefix_columns
+from riskfeat.operators.assemble import fill_zero, left_star, prefix_columns
 from riskfeat.operators.encode import LabelRates, fit_vocabulary
 from riskfeat.sources.schema import CATEGORIES_NARROW, CATEGORIES_WIDE, SourceTables
 
@@ -45,12 +45,20 @@ def order_events(order: DataFrame) -> DataFrame:
     )
 
 
-def bankcard_counts(bankcard: DataFrame) -> DataFrame:
-    return agg.per_key(bankcard, "id", {
+def bankcard_counts(bankcard: DataFrame, auth: DataFrame | None = None) -> DataFrame:
+    """Counts per id; with ``auth``, one row per id, also ``exist_phone``: 1 where the
+    applicant's own phone is that of a card."""
+    features = {
         "bank_name_len": agg.distinct_count_with_null("bank_name"),
         "tail_num_len": agg.distinct_count_with_null("tail_num"),
         "bank_phone_num": agg.distinct_count("phone"),
-    })
+    }
+    if auth is not None:
+        # the cards are the preserved side, so a hot id is split in the join
+        own = auth.select("id", F.col("phone").alias("own_phone"))
+        bankcard = bankcard.join(own, "id", "left")
+        features["exist_phone"] = F.max(F.when(F.col("phone") == F.col("own_phone"), 1))
+    return agg.per_key(bankcard, "id", features)
 
 
 def unused_bankcard_counts(bankcard: DataFrame) -> DataFrame:
@@ -118,13 +126,11 @@ def feature_table_wide(tables: SourceTables, regions: list[str], fill: bool = Tr
         clean.parse_birthday("birthday").alias("birthday"),
         *_named(flags.birthday_flags("birthday")),
     )
-    phones = tables.auth.select("id", "phone")
     base = left_star(
         tables.application.select(*KEYS),
         [
             auth, user, credit_columns(tables.credit),
-            member_keys(phones, tables.bankcard, "id", "phone", "exist_phone"),
-            bankcard_counts(tables.bankcard),
+            bankcard_counts(tables.bankcard, tables.auth),
             order_history(order_events(tables.order)),
             receive_counts(tables.receive, regions),
         ],
@@ -156,15 +162,20 @@ def feature_table_wide(tables: SourceTables, regions: list[str], fill: bool = Tr
     return fill_zero(out, skip=KEYS) if fill else out
 
 
-def bankcard_scores(bankcard: DataFrame) -> DataFrame:
-    return agg.per_key(bankcard, "id", {
+def bankcard_scores(bankcard: DataFrame, bank_rates: LabelRates | None = None) -> DataFrame:
+    """Counts and mean scores per id; with ``bank_rates`` also the mean rate of the banks."""
+    features = {
         "bank_name_len": agg.distinct_count_with_null("bank_name"),
         "tail_num_len": agg.row_count(),
         "bank_phone_num": agg.distinct_count("phone"),
         "card_type_score_mean": F.avg(
             clean.map_category("card_type", {CREDIT_CARD: CREDIT_CARD_SCORE}, OTHER_CARD_SCORE)
         ),
-    })
+    }
+    if bank_rates is not None:
+        bankcard = bank_rates.add_rate(bankcard, "bank_rate")
+        features["bank_rate_mean"] = F.avg("bank_rate")
+    return agg.per_key(bankcard, "id", features)
 
 
 def orders_around_application(events: DataFrame, application: DataFrame, amount: str = "amt_order", suffix: str = "") -> DataFrame:
@@ -206,8 +217,7 @@ def feature_table_anchored(
         application = since(application, start)
     base = left_star(application, [
         auth, user, credit_columns(tables.credit, inverse=False),
-        bankcard_scores(tables.bankcard),
-        bank_rates.mean_per_key(tables.bankcard, "id", "bank_rate_mean"),
+        bankcard_scores(tables.bankcard, bank_rates),
         orders_around_application(order_events(tables.order), application),
     ])
     counted = [
