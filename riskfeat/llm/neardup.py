@@ -1,19 +1,19 @@
-"""Near-duplicate vectors by cosine, found on robust-pruned flat graphs.
+"""Near-duplicate vectors by cosine: every link, counted block by block.
 
 1. Equal vectors of a label are one class with a count.
-2. Classes are dealt into shards: a label that is larger than TARGET is split around some
-   of its own vectors, each class going to the OVERLAP nearest of them, until shards are
-   small. A shard is the work of one task.
-3. In each shard every class gets its nearest candidates, pruned so that a neighbour goes
-   if another one, already kept, is ALPHA times nearer to it. The lists of a class from all
-   its shards are united.
-4. Every class searches each of its shards from the shard's medoid: it walks greedily with
-   a beam, and once it meets vectors in range it follows all neighbours in range.
-5. Every pair met is verified by its cosine in double precision; it is counted in the first
-   shard that both classes share. Links are added up per class and only a spanning tree of
-   a shard's links leaves its task, so a crowd of near copies makes no quadratic output.
-6. An audit compares AUDITED vectors with all others by brute force. If less than RECALL of
-   their links were found, everything is done again with one more overlap.
+2. The classes of a label and length that are more than TARGET are divided around some of
+   their own vectors, each class going to the nearest, over at most LEVELS levels. What is
+   still larger, such as a crowd of near copies, is dealt by hash. A block has about TARGET
+   classes at most.
+3. A block has a centre and a radius, the largest angle to it. Two blocks of a label are
+   left uncompared only if the angles say that no vector of one can be in range of the other.
+4. All other pairs of blocks, each block with itself included, are compared whole in double
+   precision, a pair in one task. Links are added up per class and only a spanning forest
+   of the pair's links leaves its task, so a crowd of near copies makes no quadratic output.
+
+Nothing is searched approximately: links and components are exact. The price is work that
+grows with the square of a label's classes where its blocks lie too close to be told apart;
+memory of a task does not grow, being a pair of blocks.
 
 Defined results: a vector that is null, empty, zero or holds a null, NaN or infinity, and
 one without a label or id, links with nothing; without an id the component is null and
@@ -25,20 +25,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskfeat.llm.components import components
 from riskfeat.llm.topk import usable
 from riskfeat.session import materialize
 
-TARGET, OVERLAP = 1500, 2
-CANDIDATES, DEGREE, BEAM, ALPHA = 64, 24, 32, 1.2
-AUDITED, RECALL = 256, 0.95
-MOST_PIVOTS, MOST_LEVELS = 64, 12
+TARGET = 1500
+MOST_PIVOTS, LEVELS = 64, 3
+#: Radians that rounding may take from an angle.
+SLACK = 1e-6
 
 
-# ---- inside a shard ---------------------------------------------------------------------------
+# ---- inside a task ----------------------------------------------------------------------------
 
 
 def unit(flat: np.ndarray, n: int) -> np.ndarray:
@@ -47,119 +47,6 @@ def unit(flat: np.ndarray, n: int) -> np.ndarray:
     return x / np.sqrt((x**2).sum(axis=1, keepdims=True))
 
 
-def pruned_graph(cosine: np.ndarray, candidates: int = CANDIDATES, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
-    """Neighbours of every vector, padded with -1: of its candidates the nearest is kept,
-    those much nearer to that one than to the vector go, and so on."""
-    n = len(cosine)
-    c = min(candidates, n - 1)
-    graph = np.full((n, degree), -1, np.int64)
-    if c < 1:
-        return graph
-    near = cosine.copy()
-    np.fill_diagonal(near, -np.inf)
-    pool = np.argpartition(-near, c - 1, axis=1)[:, :c]
-    pool = np.take_along_axis(pool, np.argsort(-np.take_along_axis(near, pool, 1), axis=1, kind="stable"), 1)
-    far = np.maximum(2 - 2 * np.take_along_axis(near, pool, 1), 0)  # squared distances
-    alive, rows = np.ones((n, c), bool), np.arange(n)
-    for k in range(degree):
-        some = alive.any(axis=1)
-        if not some.any():
-            break
-        first = alive.argmax(axis=1)
-        best = pool[rows, first]
-        graph[some, k] = best[some]
-        between = np.maximum(2 - 2 * cosine[best[:, None], pool], 0)
-        alive &= alpha**2 * between > far
-        alive[rows, first] = False
-    return graph
-
-
-def both_ways(neighbours: np.ndarray, n: int, degree: int = 2 * DEGREE) -> np.ndarray:
-    """The graph with backward edges, up to ``degree`` of them where many point at one."""
-    a = np.repeat(np.arange(n), neighbours.shape[1])
-    b = neighbours.ravel()
-    a, b = a[b >= 0], b[b >= 0]
-    pairs = np.unique(np.concatenate([a * n + b, b * n + a]))
-    start, end = pairs // n, pairs % n
-    place = np.arange(len(pairs)) - np.searchsorted(start, start)
-    forward = np.isin(pairs, a * n + b)
-    order = np.lexsort((place, ~forward, start))  # own neighbours first
-    start, end = start[order], end[order]
-    place = np.arange(len(pairs)) - np.searchsorted(start, start)
-    width = max(degree, neighbours.shape[1])
-    out = np.full((n, width), -1, np.int64)
-    fits = place < width
-    out[start[fits], place[fits]] = end[fits]
-    return out
-
-
-def range_search(cosine: np.ndarray, graph: np.ndarray, least: float, beam: int = BEAM) -> np.ndarray:
-    """found[i, j]: the search for i from the medoid met j, and their cosine is in range.
-    All searches of the shard walk in step."""
-    n = len(cosine)
-    seen, rows = np.zeros((n, n), bool), np.arange(n)
-    medoid = int(cosine.sum(axis=1).argmax())
-    seen[:, medoid] = True
-    held = np.full((n, 1), medoid)
-    value, opened = cosine[:, [medoid]], np.zeros((n, 1), bool)
-    active = rows
-    while len(active):
-        waiting = np.where(opened[active], -np.inf, value[active])
-        first = waiting.argmax(axis=1)
-        more = waiting[np.arange(len(active)), first] > -np.inf
-        active, first = active[more], first[more]
-        if not len(active):
-            break
-        opened[active, first] = True
-        step = graph[held[active, first]]
-        new = (step >= 0) & ~seen[active[:, None], step]
-        a, b = np.nonzero(new)
-        seen[active[a], step[a, b]] = True
-        gained = np.where(new, cosine[active[:, None], step], -np.inf)
-        all_held = np.concatenate([held[active], step], axis=1)
-        all_value = np.concatenate([value[active], gained], axis=1)
-        all_opened = np.concatenate([opened[active], ~new], axis=1)
-        width = min(beam, all_value.shape[1])
-        top = np.argpartition(-all_value, width - 1, axis=1)[:, :width]
-        if held.shape[1] < width:
-            pad = width - held.shape[1]
-            held = np.pad(held, ((0, 0), (0, pad)))
-            value = np.pad(value, ((0, 0), (0, pad)), constant_values=-np.inf)
-            opened = np.pad(opened, ((0, 0), (0, pad)), constant_values=True)
-        for of, new_of in ((held, all_held), (value, all_value), (opened, all_opened)):
-            of[active] = np.take_along_axis(new_of, top, 1)
-    found = seen & (cosine >= least)
-    np.fill_diagonal(found, False)
-    q, v = np.nonzero(found)
-    while len(q):  # the range expands while neighbours of what is in range are in range
-        # one list of neighbours at a time bounds the memory at the number of pairs
-        new_q, new_v = [], []
-        for column in graph.T:
-            w = column[v]
-            ok = w >= 0
-            a, b = q[ok], w[ok]
-            ok = (a != b) & ~found[a, b] & (cosine[a, b] >= least)
-            a, b = a[ok], b[ok]
-            fresh = np.unique(a * n + b)
-            a, b = fresh // n, fresh % n
-            found[a, b] = True
-            new_q.append(a)
-            new_v.append(b)
-        q, v = np.concatenate(new_q), np.concatenate(new_v)
-    return found | found.T
-
-
-def first_common(shards: np.ndarray, q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """The least shard that stands in both lists (rows padded with the largest number)."""
-    none = np.iinfo(np.int64).max
-    best = np.full(len(q), none)
-    for i in range(shards.shape[1]):
-        for j in range(shards.shape[1]):
-            a, b = shards[q, i], shards[v, j]
-            best = np.where((a == b) & (a < best), a, best)
-    return best
-
-
 def roots(found: np.ndarray) -> np.ndarray:
     """The least place that each place reaches."""
     q, v = np.nonzero(found)
@@ -173,141 +60,131 @@ def roots(found: np.ndarray) -> np.ndarray:
         label = after
 
 
-def graph_column():
-    """A column function: a shard's members -> each member with its neighbours' ids."""
-    kind = pa.list_(pa.struct([("id", pa.int64()), ("near", pa.list_(pa.int64()))]))
+def nearest_column():
+    """A column function: (vector, pivots) -> the place of the nearest pivot, 0 without any."""
+
+    @F.arrow_udf("int")
+    def nearest(vectors: pa.Array, pivots: pa.Array) -> pa.Array:
+        out = []
+        for v, p in zip(vectors, pivots):
+            if not p.is_valid:
+                out.append(0)
+                continue
+            centres = unit(p.values.flatten().to_numpy(), len(p.values))
+            out.append(int((centres @ unit(v.values.to_numpy(), 1)[0]).argmax()))
+        return pa.array(out, pa.int32())
+
+    return nearest
+
+
+def packed_column():
+    """A column function: a block's members -> their bytes, and the centre and radius."""
+    kind = pa.struct([("ids", pa.binary()), ("ns", pa.binary()), ("data", pa.binary()), ("centre", pa.list_(pa.float64())), ("radius", pa.float64())])
 
-    @F.arrow_udf("array<struct<id:long,near:array<long>>>")
-    def build(shards: pa.Array) -> pa.Array:
+    @F.arrow_udf("struct<ids:binary,ns:binary,data:binary,centre:array<double>,radius:double>")
+    def packed(blocks: pa.Array) -> pa.Array:
         out = []
-        for shard in shards:
-            members = shard.values
-            ids = members.field("id").to_numpy()
-            x = unit(members.field("v").flatten().to_numpy(), len(ids))
-            graph = pruned_graph(x @ x.T)
-            out.append([{"id": i, "near": ids[g[g >= 0]].tolist()} for i, g in zip(ids.tolist(), graph)])
+        for block in blocks:
+            members = block.values
+            ids, ns = members.field("id").to_numpy(), members.field("n").to_numpy()
+            order = np.argsort(ids)
+            x = unit(members.field("v").flatten().to_numpy(), len(ids))[order]
+            centre = x.sum(axis=0)
+            # where the sum is next to nothing its direction is rounding, and any will do
+            centre = unit(centre if np.abs(centre).max() > 1e-9 else x[0], 1)[0]
+            radius = float(np.arccos(np.clip((x @ centre).min(), -1, 1)))
+            out.append({"ids": ids[order].tobytes(), "ns": ns[order].tobytes(), "data": x.tobytes(), "centre": centre.tolist(), "radius": radius})
         return pa.array(out, kind)
 
-    return build
+    return packed
 
 
-def search_column(least: float):
-    """A column function: (shard, members) -> each member's links counted here and the
-    member that stands for its links here."""
+def linked_column(least: float):
+    """A column function: two blocks -> the members that have links in this pair, how many,
+    and the member that stands for them here. A block met with itself has no second one."""
     kind = pa.list_(pa.struct([("id", pa.int64()), ("links", pa.int64()), ("root", pa.int64())]))
 
+    def read(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids = np.frombuffer(block["ids"], np.int64)
+        return ids, np.frombuffer(block["ns"], np.int64), np.frombuffer(block["data"]).reshape(len(ids), -1)
+
     @F.arrow_udf("array<struct<id:long,links:long,root:long>>")
-    def search(names: pa.Array, shards: pa.Array) -> pa.Array:
+    def linked(first: pa.Array, second: pa.Array) -> pa.Array:
         out = []
-        for name, shard in zip(names.to_pylist(), shards):
-            rows = shard.as_py()
-            rows.sort(key=lambda r: r["id"])
-            ids = np.array([r["id"] for r in rows])
-            x = unit(np.array([r["v"] for r in rows]), len(ids))
-            cosine = x @ x.T
-            width = max(len(r["near"] or []) for r in rows) or 1
-            near = np.full((len(ids), width), -1, np.int64)
-            for i, r in enumerate(rows):
-                wanted = np.array(r["near"] or [], np.int64)
-                at = np.minimum(np.searchsorted(ids, wanted), len(ids) - 1)
-                at = at[ids[at] == wanted]
-                near[i, : len(at)] = at
-            found = range_search(cosine, both_ways(near, len(ids)), least)
-            most = max(len(r["shards"]) for r in rows)
-            homes = np.array([sorted(r["shards"]) + [np.iinfo(np.int64).max] * (most - len(r["shards"])) for r in rows])
+        for one, two in zip(first, second):
+            ids, ns, x = read(one.as_py())
+            if two.is_valid:
+                more, more_ns, y = read(two.as_py())
+                part = x @ y.T >= least
+                n = len(ids)
+                ids, ns = np.concatenate([ids, more]), np.concatenate([ns, more_ns])
+                found = np.zeros((len(ids), len(ids)), bool)
+                found[:n, n:] = part
+                found[n:, :n] = part.T
+            else:
+                found = x @ x.T >= least
+                found |= found.T
+                np.fill_diagonal(found, False)
             q, v = np.nonzero(found)
-            here = first_common(homes, q, v) == name
-            links = np.bincount(q[here], np.array([r["n"] for r in rows])[v[here]], len(ids)).astype(int)
+            links = np.zeros(len(ids), np.int64)
+            np.add.at(links, q, ns[v])
+            some = np.flatnonzero(links)
             root = ids[roots(found)]
-            out.append([{"id": i, "links": n, "root": r} for i, n, r in zip(ids.tolist(), links.tolist(), root.tolist())])
+            out.append([dict(zip(("id", "links", "root"), r)) for r in zip(ids[some].tolist(), links[some].tolist(), root[some].tolist())])
         return pa.array(out, kind)
 
-    return search
+    return linked
 
 
-def nearest_column(overlap: int):
-    @F.arrow_udf("array<int>")
-    def nearest(vectors: pa.Array, pivots: pa.Array) -> pa.Array:
-        out = []
-        for v, p in zip(vectors, pivots):
-            if not p.is_valid:
-                out.append([0])
-                continue
-            x = v.values.to_numpy()
-            centres = unit(p.values.flatten().to_numpy(), len(p.values))
-            out.append(np.argsort(-(centres @ x), kind="stable")[:overlap].tolist())
-        return pa.array(out, pa.list_(pa.int32()))
+# ---- over all blocks ---------------------------------------------------------------------------
 
-    return nearest
 
-
-# ---- over all shards ---------------------------------------------------------------------------
-
-
-def shard(classes: DataFrame, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
-    """(id, shard): each class in one or more shards of about ``target`` classes at most."""
-    placed = classes.select("id", "v", F.xxhash64("label", F.size("v")).alias("shard"))
-    nearest = nearest_column(overlap)
-    for level in range(MOST_LEVELS):
-        sizes = placed.groupBy("shard").count().withColumnRenamed("count", "m_")
-        if sizes.filter(F.col("m_") > target).isEmpty():
+def blocks(classes: DataFrame, target: int = TARGET) -> DataFrame:
+    """The classes (id, n, label, v) as packed blocks of about ``target`` at most: label, dim,
+    block, ids, ns, data, centre, radius."""
+    placed = classes.withColumn("dim", F.size("v")).withColumn("cell", F.xxhash64("label", "dim"))
+    nearest = nearest_column()
+    for level in range(LEVELS):
+        crowded = placed.groupBy("cell").agg(F.count("*").alias("m_")).filter(F.col("m_") > target)
+        if crowded.isEmpty():
             break
-        wanted = F.least(F.lit(MOST_PIVOTS), F.ceil(F.col("m_") * 2 / target)).cast("long")
-        crowded = sizes.filter(F.col("m_") > target).withColumn("wanted_", wanted)
-        picked = placed.join(crowded, "shard").filter(F.pmod(F.xxhash64("id", F.lit(level)), F.col("m_")) < F.col("wanted_"))
-        pivots = picked.groupBy("shard").agg(F.collect_list("v").alias("pivots"))  # about ``wanted_``
-        pivots = pivots.filter(F.size("pivots") > 1)
-        joined = placed.join(pivots, "shard", "left")
-        part = F.explode(nearest("v", "pivots"))
-        moved = joined.select("id", "v", "shard", F.col("pivots").isNotNull().alias("split"), part.alias("part"))
-        name = F.when(F.col("split"), F.xxhash64("shard", F.lit(level), "part")).otherwise(F.col("shard"))
-        placed = materialize(moved.select("id", "v", name.alias("shard")))
-    return placed.select("id", "shard").distinct()
-
-
-def linked_classes(classes: DataFrame, least: float, target: int = TARGET, overlap: int = OVERLAP) -> tuple[DataFrame, DataFrame]:
-    """(id, links) and the edges (a, b) that tie the classes (id, n, label, v)."""
-    homes = materialize(shard(classes, target, overlap))
-    lists = homes.groupBy("id").agg(F.sort_array(F.collect_set("shard")).alias("shards"))
-    members = materialize(homes.join(classes.select("id", "n", "v"), "id").join(lists, "id"))
-    built = members.groupBy("shard").agg(F.collect_list(F.struct("id", "v")).alias("m")).select(F.inline(graph_column()("m")))
-    near = built.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    whole = members.join(near, "id", "left").groupBy("shard").agg(F.collect_list(F.struct("id", "n", "v", "shards", "near")).alias("m"))
-    found = materialize(whole.select(F.inline(search_column(least)("shard", "m"))))
+        wanted = F.least(F.lit(MOST_PIVOTS), F.greatest(F.lit(2), F.ceil(F.col("m_") / target))).cast("long")
+        crowded = crowded.withColumn("wanted_", wanted)
+        picked = placed.join(crowded, "cell").filter(F.pmod(F.xxhash64("id", F.lit(level)), F.col("m_")) < F.col("wanted_"))
+        pivots = picked.groupBy("cell").agg(F.collect_list("v").alias("pivots"))  # about ``wanted_``
+        moved = placed.join(pivots.filter(F.size("pivots") > 1), "cell", "left")
+        part = F.when(F.col("pivots").isNotNull(), F.xxhash64("cell", F.lit(level), nearest("v", "pivots"))).otherwise(F.col("cell"))
+        placed = materialize(moved.select("id", "n", "label", "v", "dim", part.alias("cell")))
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / target).alias("parts_"))
+    dealt = placed.join(sizes, "cell").withColumn("block", F.xxhash64("cell", F.pmod(F.xxhash64("id", F.lit(LEVELS)), F.col("parts_"))))
+    members = F.collect_list(F.struct("id", "n", "v")).alias("m")
+    return dealt.groupBy("label", "dim", "block").agg(members).select("label", "dim", "block", packed_column()("m").alias("p")).select("label", "dim", "block", "p.*")
+
+
+def in_reach(least: float) -> Column:
+    """Whether a vector of the block (centre_a, radius_a) can be in range of one of b."""
+    cosine = F.aggregate(F.zip_with("centre_a", "centre_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    between = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
+    range_ = float(np.arccos(np.clip(least, -1, 1))) + SLACK
+    return between <= F.col("radius_a") + F.col("radius_b") + F.lit(range_)
+
+
+def linked_classes(classes: DataFrame, least: float, target: int = TARGET) -> tuple[DataFrame, DataFrame]:
+    """(id, links) of the classes (id, n, label, v) that have any, and the edges (a, b) that
+    tie them."""
+    packed = materialize(blocks(classes, target))
+    sides = [packed.select("label", "dim", *(F.col(c).alias(f"{c}_{s}") for c in ("block", "centre", "radius"))) for s in "ab"]
+    pairs = sides[0].join(sides[1], ["label", "dim"]).filter((F.col("block_a") <= F.col("block_b")) & in_reach(least))
+    pairs = pairs.select("label", "dim", "block_a", "block_b")
+    held = [packed.select("label", "dim", F.col("block").alias(f"block_{s}"), F.struct("ids", "ns", "data").alias(s)) for s in "ab"]
+    pairs = materialize(pairs).join(held[0], ["label", "dim", "block_a"]).join(held[1], ["label", "dim", "block_b"])
+    second = F.when(F.col("block_a") < F.col("block_b"), F.col("b"))
+    found = materialize(pairs.select(F.inline(linked_column(least)("a", second))))
     return found.groupBy("id").agg(F.sum("links").alias("links")), found.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
 
 
-def audit(classes: DataFrame, links: DataFrame, least: float, most: int = AUDITED) -> float:
-    """The share of the links of ``most`` classes, drawn by hash, that were found."""
-    drawn = classes.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(most).select("id", F.xxhash64("label").alias("label"), "v").collect()  # ``most`` rows
-    if not drawn:
-        return 1.0
-    shared = classes.sparkSession.sparkContext.broadcast([(r["id"], r["label"], np.array(r["v"])) for r in drawn])
-
-    @F.arrow_udf("array<long>")
-    def partners(ids: pa.Array, labels: pa.Array, vectors: pa.Array) -> pa.Array:
-        own, label = ids.to_numpy(), labels.to_numpy()
-        out: list[list[int]] = [[] for _ in own]
-        lengths = np.diff(vectors.offsets.to_numpy())
-        flat = vectors.flatten().to_numpy()
-        for size in np.unique(lengths):
-            rows = np.flatnonzero(lengths == size)
-            x = unit(flat[np.repeat(lengths == size, lengths)], len(rows))
-            for i, name, v in shared.value:
-                if len(v) == size:
-                    hit = (x @ unit(v, 1)[0] >= least) & (label[rows] == name) & (own[rows] != i)
-                    for r in rows[hit]:
-                        out[r].append(i)
-        return pa.array(out, pa.list_(pa.int64()))
-
-    true = classes.select(F.explode(partners("id", F.xxhash64("label"), "v")).alias("id"), "n").groupBy("id").agg(F.sum("n").alias("true"))
-    row = true.join(links, "id", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("links", F.lit(0))))).first()
-    return 1.0 if not row[0] else row[1] / row[0]
-
-
 def near_duplicates(
-    df: DataFrame, least: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label",
-    target: int = TARGET, overlap: int = OVERLAP, recall: float = RECALL,
+    df: DataFrame, least: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label", target: int = TARGET,
 ) -> DataFrame:
     """Per row: the key, n_links, component_id and kept."""
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
@@ -318,15 +195,11 @@ def near_duplicates(
         F.min("id").alias("id"), F.count("*").alias("n"), F.any_value("label").alias("label"), F.any_value("v").alias("v")
     )
     classes = materialize(classes)
-    while True:
-        links, edges = linked_classes(classes, least, target, overlap)
-        if overlap >= 8 or audit(classes, links, least) >= recall:
-            break
-        overlap += 1
+    links, edges = linked_classes(classes, least, target)
     tied = components(edges)
-    result = classes.select("class", "n", F.col("id").alias("rep")).join(links.withColumnRenamed("id", "rep"), "rep")
+    result = classes.select("class", "n", F.col("id").alias("rep")).join(links.withColumnRenamed("id", "rep"), "rep", "left")
     result = result.join(tied, F.col("rep") == F.col("node"), "left").select(
-        "class", (F.col("n") - 1 + F.col("links")).alias("links"), F.coalesce("component", "rep").alias("component")
+        "class", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component")
     )
     alone = rows.filter("class is null").select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("component"))
     full = rows.filter("class is not null").select("id", "class").join(result, "class").select("id", "links", "component").union(alone)

@@ -218,6 +218,19 @@ def test_near_duplicates(spark):
         assert all(got[i][0] <= want[i][0] for i in want)
 
 
+@pytest.mark.parametrize("noise", [0.02, 0.09])
+def test_near_duplicates_of_a_family_larger_than_a_block(spark, noise):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=16) + noise * rng.normal(size=(400, 16)), rng.normal(size=(100, 16))])
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = u @ u.T >= 0.93
+    np.fill_diagonal(links, False)
+    root = neardup.roots(links)
+    got = neardup.near_duplicates(frame(spark, rows, "vec_id long, embedding array<double>, label int"), target=40).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(i, int(links[i].sum()), int(root[i])) for i in range(500)]
+
+
 @pytest.mark.parametrize("operator, label", [(quality, "quality"), (toxicity, "toxic")])
 def test_classifiers(spark, data_dir, operator, label):
     docs, labels = (spark.read.parquet(f"{data_dir}/{t}.parquet") for t in ("documents", "labels"))
