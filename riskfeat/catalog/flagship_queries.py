@@ -18,8 +18,6 @@ from riskfeat.plans import jobs
 from riskfeat.session import keep, materialize
 from riskfeat.sources.schema import CATEGORIES_NARROW, CATEGORIES_WIDE
 
-# Short training runs: the full settings have 800 to 2000 rounds.
-TRIAL_ROUNDS = 3
 # The data reaches back to the nineties, so the cuts are placed inside it.
 START = "1997-01-01"
 CUT = "1998-04-01"
@@ -228,17 +226,17 @@ def _train_and_score(matrix, estimator):
 
 @query("score_gbt")
 def _(spark, folder):
-    return _train_and_score(_document_matrix(spark, folder), est.BOOST_BASE.estimator(TRIAL_ROUNDS))
+    return _train_and_score(_document_matrix(spark, folder), est.BOOST_BASE.estimator())
 
 
 @query("score_gbt_categorical")
 def _(spark, folder):
-    return _train_and_score(_document_matrix(spark, folder, codes=True), est.BOOST_CATEGORICAL.estimator(TRIAL_ROUNDS))
+    return _train_and_score(_document_matrix(spark, folder, codes=True), est.BOOST_CATEGORICAL.estimator())
 
 
 @query("score_forest")
 def _(spark, folder):
-    return _train_and_score(_document_matrix(spark, folder), est.forest(trees=20))
+    return _train_and_score(_document_matrix(spark, folder), est.forest())
 
 
 @query("score_logistic")
@@ -251,7 +249,7 @@ def _(spark, folder):
 @query("cross_validate_auc")
 def _(spark, folder):
     train = _document_matrix(spark, folder).where(F.col("split") == "train")
-    scorer = Scorer("boost", est.BOOST_BASE.estimator(TRIAL_ROUNDS))
+    scorer = Scorer("boost", est.BOOST_BASE.estimator(est.CROSS_VALIDATION_ROUNDS))
     return cross_validate(train, scorer, est.CROSS_VALIDATION_FOLDS)
 
 
@@ -262,27 +260,27 @@ def _(spark, folder):
     coded = assemble_vector(codes, DOCUMENT_KEYS, "codes")
     hot = assemble_vector(OneHot.fit(rows, ["lang", "source"]).transform(rows), DOCUMENT_KEYS, "onehot")
     matrix = keep(hot.join(coded.select("id", "codes"), "id"))
-    return stack_oof(matrix, jobs.stack_scorers(TRIAL_ROUNDS), est.STACK_FOLDS, parallelism=4)
+    return stack_oof(matrix, jobs.stack_scorers(), est.STACK_FOLDS, parallelism=4)
 
 
 @query("score_wide")
 def _(spark, folder):
-    return jobs.score_single(materialize(wide_features(spark, folder)), jobs.WIDE, TRIAL_ROUNDS)
+    return jobs.score_single(materialize(wide_features(spark, folder)), jobs.WIDE)
 
 
 @query("score_anchored")
 def _(spark, folder):
-    return jobs.score_single(materialize(anchored_features(spark, folder, None)), jobs.ANCHORED, TRIAL_ROUNDS, START)
+    return jobs.score_single(materialize(anchored_features(spark, folder, None)), jobs.ANCHORED, start=START)
 
 
 @query("validate_wide")
 def _(spark, folder):
-    return jobs.validate_single(materialize(wide_features(spark, folder)), jobs.WIDE, CUT, TRIAL_ROUNDS)
+    return jobs.validate_single(materialize(wide_features(spark, folder)), jobs.WIDE, CUT)
 
 
 @query("validate_anchored")
 def _(spark, folder):
-    return jobs.validate_single(materialize(anchored_features(spark, folder, None)), jobs.ANCHORED, CUT, TRIAL_ROUNDS)
+    return jobs.validate_single(materialize(anchored_features(spark, folder, None)), jobs.ANCHORED, CUT)
 
 
 @query("validate_logistic")
@@ -292,4 +290,4 @@ def _(spark, folder):
 
 @query("score_stacked")
 def _(spark, folder):
-    return jobs.score_stack(materialize(wide_features(spark, folder)), TRIAL_ROUNDS, parallelism=4)
+    return jobs.score_stack(materialize(wide_features(spark, folder)), parallelism=4)

@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 
 import __spark_entry__ as entry
 import check
@@ -33,3 +34,26 @@ def test_every_sql_has_a_query():
 
 def test_entry(spark):
     assert entry.entry(spark).columns[:3] == ["id", "split", "target"]
+
+
+SETTINGS = {
+    "score_gbt": {800}, "score_gbt_categorical": {2000}, "score_forest": {1000}, "cross_validate_auc": {1000},
+    "stack_oof": {700, 800, 1200, 2000}, "score_wide": {800}, "score_anchored": {800}, "validate_wide": {800},
+    "validate_anchored": {800}, "score_stacked": {700, 800, 1200, 2000},
+}
+
+
+@pytest.mark.parametrize("name", SETTINGS)
+def test_learned_scores_train_in_full(spark, data_dir, monkeypatch, name):
+    """The fits are recorded, not run."""
+    grown = set()
+
+    def fit(self, *_):
+        grown.add(self.getOrDefault("numTrees" if self.hasParam("numTrees") else "maxIter"))
+        raise InterruptedError
+
+    for learner in (GBTClassifier, RandomForestClassifier):
+        monkeypatch.setattr(learner, "fit", fit)
+    with pytest.raises(InterruptedError):
+        entry.queries()[name](spark, data_dir)
+    assert grown == SETTINGS[name]
