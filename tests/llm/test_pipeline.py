@@ -114,3 +114,11 @@ def test_stages_of_an_empty_table(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, folder).count() == 0
+
+
+def test_texts_of_a_repeated_id_stand_for_themselves(spark):
+    one, other = " ".join(f"w{i}" for i in range(200)), " ".join(f"v{i}" for i in range(200))
+    rows = [(1, one), (2, f"{one} more"), (2, other), (2, other), (3, ""), (3, ""), (3, None), (4, f"{other} end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.single(spark, docs, "").collect()), key=repr)
+    assert got == sorted([(1, one), (2, other), (3, ""), (3, None)], key=repr)
