@@ -52,7 +52,7 @@ def blocks(rows: DataFrame, per: int) -> DataFrame:
         out = []
         for d, m in zip(dim.to_pylist(), members):
             values = m.values
-            ids, data = values.field("id").to_numpy(), values.field("v").flatten().to_numpy().reshape(-1, d)
+            ids, data = values.field("id").to_numpy(), values.field("v").flatten().to_numpy().reshape(len(values), d)
             order = np.argsort(ids)
             data = data[order]
             out.append({"ids": ids[order].tobytes(), "data": data.tobytes(), "most": float(np.sqrt((data**2).sum(1)).max())})

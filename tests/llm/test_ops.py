@@ -218,6 +218,12 @@ def test_near_duplicates(spark):
         assert all(got[i][0] <= want[i][0] for i in want)
 
 
+def test_top_k_of_empty_vectors(spark):
+    rows = [(0, []), (1, []), (2, [1.0]), (50, [2.0])]
+    got = topk.top_k(frame(spark, rows, "vec_id long, embedding array<double>"), lambda i: i % 50 == 0, rows=64).collect()
+    assert {tuple(r) for r in got} == {(0, 1, 1, 0), (50, 1, 2, 2 * 256 * 256)}
+
+
 @pytest.mark.parametrize("noise", [0.02, 0.09])
 def test_near_duplicates_of_a_family_larger_than_a_block(spark, noise):
     rng = np.random.default_rng(6)
