@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskfeat.llm import bpe, jaccard, neardup, packing, quality, secrets, sharding, topk, toxicity, warc
+from riskfeat.llm import audit, bpe, jaccard, licenses, manifest, neardup, packing, quality, secrets, sharding, topk, toxicity, warc
 from riskfeat.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +174,94 @@ SELECT node AS vec_id, coalesce(n_links, 0) AS n_links, component_id, node = com
 FROM component LEFT JOIN n ON a = node""")
 def op10_neardup(spark, folder):
     return neardup.near_duplicates(table(spark, folder, "embeddings"), least=0.93)
+
+
+def _merkle_sql(levels: int, group_levels: int) -> str:
+    """Trees of 16 over rows by source, then over the sources, up to so many levels: nK are
+    the nodes, sK what stands before and after each in its run; a one-node group goes up as it is."""
+    parts = []
+
+    def tree(n: str, s: str, by: str, count: int) -> None:
+        run = f"PARTITION BY {by}, pos // 16 ORDER BY pos ROWS BETWEEN"
+        for k in range(count):
+            parts.append(f"""
+  {s}{k} AS (SELECT {by}, pos, coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b,
+    coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS a FROM {n}{k} WHERE m > 1),
+  {n}{k + 1} AS (SELECT {by}, pos // 16 AS pos, CASE WHEN any_value(m) > 1 THEN sha256(string_agg(h, '' ORDER BY pos)) ELSE any_value(h) END AS h,
+    (any_value(m) + 15) // 16 AS m FROM {n}{k} GROUP BY {by}, pos // 16)""")
+
+    def folded(values: str, s: str, by: str, place: str, count: int) -> str:
+        for k in range(count):
+            values = f"""(SELECT v.* REPLACE (coalesce(sha256(b || f || a), f) AS f, p || coalesce(b || a, '') AS p)
+    FROM {values} v LEFT JOIN {s}{k} s ON v.{by} = s.{by} AND v.{place} // {16 ** k} = s.pos)"""
+        return values
+
+    tree("n", "s", "g", levels)
+    parts.append(f"""
+  g0 AS (SELECT 0 AS z, row_number() OVER (ORDER BY g) - 1 AS pos, h, count(*) OVER () AS m, g FROM n{levels})""")
+    tree("g", "t", "z", group_levels)
+    rows = f"(SELECT v.*, 0 AS z, g0.pos AS gpos, g0.h AS subroot FROM {folded('leaves', 's', 'g', 'pos', levels)} v JOIN g0 USING (g))"
+    return ",".join(parts) + f",\n  done AS (SELECT * FROM {folded(rows, 't', 'z', 'gpos', group_levels)})"
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in fields) + ")"
+
+
+_CRC_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1),
+    lambda i: CAST(ord(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT))), lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)),
+    lambda y, j: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)))"""
+
+
+@query("op11_manifest", f"""
+WITH hashed AS (
+  SELECT *, coalesce('=' || source, '') AS g, {_leaf_sql('text')} AS h, CASE WHEN {_CRC_SQL} % 5 = 0
+    THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed
+  FROM documents),
+  n0 AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, h, count(*) OVER (PARTITION BY g) AS m, doc_id, changed FROM hashed),
+  leaves AS (SELECT g, pos, doc_id, h AS leaf, coalesce(changed, h) AS f, '' AS p FROM n0),{_merkle_sql(6, 3)}
+SELECT doc_id, leaf, subroot, h AS root, sha256(p) AS proof_sha256, f AS folded_root, f = h AS verified FROM done, g3""")
+def op11_manifest(spark, folder):
+    return manifest.manifest(table(spark, folder, "documents"))
+
+
+@query("op12_licenses")
+def op12_licenses(spark, folder):
+    read = table(spark, folder, "documents").select("doc_id", licenses.scan_column()("text").alias("s")).select("doc_id", "s.*")
+    found, base = F.col("found"), licenses.of_kind(F.col("found"), "base")
+    words = F.transform(base, lambda p: p.word)
+    return read.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(words).alias("first_word"), F.array_max(words).alias("last_word"),
+        licenses.label_list(base).alias("base_labels"), licenses.label_list(found).alias("labels"), licenses.freedom(found).alias("score"),
+        F.array_join(F.array_distinct(F.filter(F.transform(found, lambda p: p.expression), lambda e: e.isNotNull())), "; ").alias("expressions"),
+    )
+
+
+@query("op13_audit", r"""
+WITH texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+judged AS (
+  SELECT doc_id, part, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM texts),
+marks AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+failed AS (
+  SELECT part, CAST(len(w) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT)
+    + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS INT) + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT)
+    + 16 * CAST(coalesce(doc_id > first, false) AS INT) AS f, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM judged LEFT JOIN marks USING (doc_id)),
+counted AS (SELECT part, f, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM failed GROUP BY part, f),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letter a, letter b, letter c, letter d, letter e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT o, s, 1 << (ord(o[s]) - 65) AS own, CAST(coalesce(list_sum(list_transform(range(1, s), lambda i: 1 << (ord(o[i]) - 65))), 0) AS INT) AS before
+  FROM orders, (SELECT unnest(range(1, 6)) AS s)),
+report AS (
+  SELECT part, o, s, own, sum(n) FILTER (f & (before | own) = 0) AS kept, sum(n) FILTER (f & before = 0 AND f & own > 0) AS removed,
+    sum(n) FILTER (f & before > 0 AND f & own > 0) AS redundant, sum(n) FILTER (f = own) AS unique_fails,
+    sum(good) FILTER (f & before = 0 AND f & own > 0) AS good_lost, sum(toxic) FILTER (f & before = 0 AND f & own > 0) AS toxic_lost
+  FROM counted, steps GROUP BY ALL)
+SELECT part, o AS filter_order, CAST(s AS INT) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+  CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley FROM report""")
+def op13_audit(spark, folder):
+    return audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
