@@ -29,7 +29,7 @@ MEANS = ("quota_use_ratio", "how_old", "order_mean", "unit_price_mean", "mean_be
 
 def rounded(df):
     return df.select([
-        F.round(c, 6).alias(c) if c in MEANS else F.round(c, 9).alias(c) if c == "card_type_score_mean" else F.col(c)
+        F.round(c, 6).alias(c) if c in MEANS else F.col(c)
         for c in df.columns
     ])
 
@@ -154,8 +154,8 @@ WITH rates AS (SELECT bank_name, COUNT(*) FILTER (WHERE target = 1)
   WHERE split = 'train' AND bank_name IS NOT NULL GROUP BY bank_name),
 k AS (SELECT id, COUNT(DISTINCT bank_name) + MAX(CASE WHEN bank_name IS NULL THEN 1 ELSE 0 END) AS bank_name_len,
     COUNT(*) AS tail_num_len, COUNT(DISTINCT phone) AS bank_phone_num,
-    AVG(CASE WHEN card_type = '信用卡' THEN CAST(0.0154925 AS DOUBLE) ELSE CAST(0.02607069 AS DOUBLE) END)
-      AS card_type_score_mean FROM bankcard GROUP BY id),
+    (COUNT(*) FILTER (WHERE card_type IS DISTINCT FROM '信用卡') * CAST(0.02607069 AS DOUBLE)
+      + COUNT(*) FILTER (WHERE card_type = '信用卡') * CAST(0.0154925 AS DOUBLE)) / COUNT(*) AS card_type_score_mean FROM bankcard GROUP BY id),
 p AS (SELECT id, AVG(rate) AS bank_rate_mean FROM bankcard LEFT JOIN rates USING (bank_name) GROUP BY id),
 o AS (SELECT a.id, COUNT(*) FILTER (WHERE time_order < appl_sbm_tm) AS n_before,
     COUNT(*) FILTER (WHERE time_order > appl_sbm_tm) AS n_after,
@@ -179,7 +179,7 @@ SELECT a.id, split, target, appl_sbm_tm, {_filled(CATEGORIES_NARROW, "'0'")},
   CASE WHEN auth_time < appl_sbm_tm THEN {days('appl_sbm_tm', 'auth_time')} ELSE 0 END AS auth_before_days,
   CASE WHEN auth_time > appl_sbm_tm THEN {days('auth_time', 'appl_sbm_tm')} ELSE 0 END AS auth_after_days,
   {_filled(("bank_name_len", "tail_num_len", "bank_phone_num"), 0)},
-  round(coalesce(card_type_score_mean, 0), 9) AS card_type_score_mean,
+  coalesce(card_type_score_mean, 0) AS card_type_score_mean,
   round(coalesce(bank_rate_mean, 0), 6) AS bank_rate_mean, {_filled(("n_before", "n_after"), 0)},
   round(coalesce(mean_before, 0), 6) AS mean_before, round(coalesce(mean_after, 0), 6) AS mean_after,
   {_filled(("max_before", "min_after"), 0)}
@@ -236,7 +236,7 @@ def _(spark, folder):
 
 @query("score_forest")
 def _(spark, folder):
-    return _train_and_score(_document_matrix(spark, folder), est.forest())
+    return _train_and_score(_document_matrix(spark, folder), est.random_cut_forest())
 
 
 @query("score_logistic")

@@ -261,11 +261,11 @@ def _(spark, folder):
 
 
 @query("agg_mapped_score_mean", with_tables("bankcard", """
-SELECT id, round(AVG(CASE WHEN card_type = '信用卡' THEN CAST(0.0154925 AS DOUBLE)
-  ELSE CAST(0.02607069 AS DOUBLE) END), 9) AS card_type_score_mean FROM bankcard GROUP BY id"""))
+SELECT id, (COUNT(*) FILTER (WHERE card_type IS DISTINCT FROM '信用卡') * CAST(0.02607069 AS DOUBLE)
+  + COUNT(*) FILTER (WHERE card_type = '信用卡') * CAST(0.0154925 AS DOUBLE)) / COUNT(*) AS card_type_score_mean FROM bankcard GROUP BY id"""))
 def _(spark, folder):
-    score = clean.map_category("card_type", {feat.CREDIT_CARD: feat.CREDIT_CARD_SCORE}, feat.OTHER_CARD_SCORE)
-    return agg.per_key(src.bankcard(spark, folder), "id", {"card_type_score_mean": F.round(F.avg(score), 9)})
+    score = agg.mapped_mean("card_type", {feat.CREDIT_CARD: feat.CREDIT_CARD_SCORE}, feat.OTHER_CARD_SCORE)
+    return agg.per_key(src.bankcard(spark, folder), "id", {"card_type_score_mean": score})
 
 
 # ---- encoders

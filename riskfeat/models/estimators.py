@@ -10,6 +10,9 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 
+from riskfeat.models.boosting import LOGISTIC, PAIRWISE, Booster
+from riskfeat.models.random_cuts import RandomCutForest
+
 
 @dataclass(frozen=True)
 class BoostSettings:
@@ -34,6 +37,23 @@ class BoostSettings:
         )
 
 
+    def ranking(self, rounds: int | None = None, features: str = "features", label: str = "target") -> Booster:
+        """The same settings with the pairwise ranking loss, rows drawn every round and columns
+        once a tree."""
+        return Booster(
+            PAIRWISE, self.step, rounds or self.rounds, self.depth, self.row_share, self.column_share, max_bins=self.max_bins,
+            min_rows_per_leaf=self.min_rows_per_leaf, seed=self.seed, features=features, label=label,
+        )
+
+    def drawn(self, rounds: int | None = None, redraw: int = 5, features: str = "features", label: str = "target") -> Booster:
+        """The same settings with the logistic loss, rows drawn for ``redraw`` rounds and
+        columns once a tree."""
+        return Booster(
+            LOGISTIC, self.step, rounds or self.rounds, self.depth, self.row_share, self.column_share, redraw, l2=0.0,
+            max_bins=self.max_bins, min_rows_per_leaf=self.min_rows_per_leaf, seed=self.seed, features=features, label=label,
+        )
+
+
 # The settings of the original scorers.
 BOOST_BASE = BoostSettings(step=0.02, rounds=800, seed=1111)
 BOOST_SLOWER = BoostSettings(step=0.015, rounds=1200, seed=11)
@@ -48,15 +68,21 @@ STACK_FOLDS, STACK_SEED = 5, 111
 
 
 def forest(trees: int = FOREST_TREES, features: str = "features", label: str = "target", seed: int = 10, depth: int = 10) -> RandomForestClassifier:
+    """A forest of searched splits on samples of the rows."""
     return RandomForestClassifier(
         featuresCol=features, labelCol=label, numTrees=trees, featureSubsetStrategy="log2",
         maxDepth=depth, seed=seed,
     )
 
 
-def logistic(rows: int, features: str = "features", label: str = "target", iterations: int = 100) -> LogisticRegression:
+def random_cut_forest(trees: int = FOREST_TREES, features: str = "features", label: str = "target", seed: int = 10, depth: int = 10) -> RandomCutForest:
+    """A forest of drawn cut points on all rows, as the original's."""
+    return RandomCutForest(trees=trees, features=features, label=label, seed=seed, depth=depth)
+
+
+def logistic(rows: int, features: str = "features", label: str = "target", iterations: int = 100, tolerance: float = 1e-6) -> LogisticRegression:
     """L2 with unit weight on the summed loss, hence 1 / rows on the mean loss."""
     return LogisticRegression(
         featuresCol=features, labelCol=label, elasticNetParam=0.0, regParam=1.0 / max(rows, 1),
-        standardization=False, maxIter=iterations,
+        standardization=False, maxIter=iterations, tol=tolerance,
     )

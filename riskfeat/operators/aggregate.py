@@ -45,6 +45,20 @@ def count_where(condition: Column) -> Column:
     return F.count_if(condition)
 
 
+def mapped_mean(c: ColumnOrName, mapping: dict[str, float], default: float) -> Column:
+    """Mean of the score that each value is mapped to; other and missing values have ``default``.
+
+    Made of counts, so the order of the rows does not move the last digit.
+    """
+    c = as_col(c)
+    counts = {value: F.count_if(c == value) for value in mapping}
+    listed = sum(counts.values(), F.lit(0))
+    total = (row_count() - listed) * F.lit(float(default))
+    for value, score in mapping.items():
+        total = total + counts[value] * F.lit(float(score))
+    return total / F.nullif(row_count(), F.lit(0))
+
+
 def value_columns(prefix: str, values: list[str]) -> list[str]:
     """One column name per value: the prefix and the value, with any sign but letters, digits
     and ``_`` as its code point; where two would differ in case only, the later one is numbered."""

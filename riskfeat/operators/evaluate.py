@@ -53,9 +53,9 @@ def auc(
     """Exact area under the ROC curve, ties counted half; one row per ``by``.
 
     Rows without a score or label, NaN included, do not count; infinite scores rank
-    first and last. Equal scores are summed first, so a hot score is one row. Score order is
-    then found bucket by bucket: cut points from approximate quantiles spread
-    the work and do not affect the result. Only the bucket totals (at most
+    first and last. Equal scores are summed first, so a hot score is one row, and these sums are
+    saved, so what is above is read once. Score order is then found bucket by bucket: cut
+    points from approximate quantiles of the different scores spread the work and do not affect the result. Only the bucket totals (at most
     ``buckets`` rows per group, by default four per shuffle partition) meet in one window.
     """
     buckets = buckets or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -64,12 +64,12 @@ def auc(
         *groups, F.col(score).cast("double").alias("score"), F.col(label).cast("int").alias("label")
     ).where(F.col("score").isNotNull() & ~F.isnan("score") & F.col("label").isNotNull())
     probabilities = [i / buckets for i in range(1, buckets)]
-    cuts = sorted({c for c in scored.approxQuantile("score", probabilities, 0.25 / buckets) if math.isfinite(c)})
+    counted = materialize(scored.groupBy(*groups, "score").agg(
+        F.sum("label").cast("double").alias("pos"), F.sum(1 - F.col("label")).cast("double").alias("neg")
+    ))
+    cuts = sorted({c for c in counted.approxQuantile("score", probabilities, 0.25 / buckets) if math.isfinite(c)})
     if not cuts:
         cuts = [0.0]
-    counted = scored.groupBy(*groups, "score").agg(
-        F.sum("label").cast("double").alias("pos"), F.sum(1 - F.col("label")).cast("double").alias("neg")
-    )
     bucketed = Bucketizer(
         splits=[float("-inf"), *cuts, float("inf")], inputCol="score", outputCol="bucket"
     ).transform(counted)

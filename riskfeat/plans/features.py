@@ -168,9 +168,7 @@ def bankcard_scores(bankcard: DataFrame, bank_rates: LabelRates | None = None) -
         "bank_name_len": agg.distinct_count_with_null("bank_name"),
         "tail_num_len": agg.row_count(),
         "bank_phone_num": agg.distinct_count("phone"),
-        "card_type_score_mean": F.avg(
-            clean.map_category("card_type", {CREDIT_CARD: CREDIT_CARD_SCORE}, OTHER_CARD_SCORE)
-        ),
+        "card_type_score_mean": agg.mapped_mean("card_type", {CREDIT_CARD: CREDIT_CARD_SCORE}, OTHER_CARD_SCORE),
     }
     if bank_rates is not None:
         bankcard = bank_rates.add_rate(bankcard, "bank_rate")

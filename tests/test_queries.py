@@ -1,9 +1,11 @@
 import duckdb
 import pytest
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier
 
 import __spark_entry__ as entry
 import check
+from riskfeat.models.boosting import Booster
+from riskfeat.models.random_cuts import RandomCutForest
 
 ORACLE = entry.oracle_sql()
 # learned scores: the fits are slow and tests/test_models.py covers them
@@ -49,10 +51,10 @@ def test_learned_scores_train_in_full(spark, data_dir, monkeypatch, name):
     grown = set()
 
     def fit(self, *_):
-        grown.add(self.getOrDefault("numTrees" if self.hasParam("numTrees") else "maxIter"))
+        grown.add(self.trees if isinstance(self, RandomCutForest) else self.rounds if isinstance(self, Booster) else self.getMaxIter())
         raise InterruptedError
 
-    for learner in (GBTClassifier, RandomForestClassifier):
+    for learner in (GBTClassifier, RandomCutForest, Booster):
         monkeypatch.setattr(learner, "fit", fit)
     with pytest.raises(InterruptedError):
         entry.queries()[name](spark, data_dir)
