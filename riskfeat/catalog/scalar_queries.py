@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskfeat.catalog import driver_tables as src
 from riskfeat.catalog.registry import AMOUNT, AUTH_TIME, BIRTHDAY, ORDER_TIME, days, query, with_tables
@@ -10,7 +11,7 @@ from riskfeat.functions import clean, flags, timefeat
 from riskfeat.operators.assemble import fill_zero, union_split
 from riskfeat.operators.evaluate import temporal_split, year_month_split
 from riskfeat.session import scratch_path
-from riskfeat.sources.scan import scan_csv, scan_features, scan_parquet
+from riskfeat.sources.scan import scan_csv, scan_features, scan_parquet, scan_rejected
 from riskfeat.sources.schema import schema_of
 from riskfeat.sources.sink import write_features, write_scores
 
@@ -37,6 +38,31 @@ def _(spark, folder):
     return scan_csv(spark, path, schema_of("bankcard"))
 
 
+@query("scan_csv_line_breaks", """
+SELECT doc_id, nullif(text, '') AS text, source FROM documents WHERE doc_id % 10 <> 3""")
+def _(spark, folder):
+    """Texts with line breaks, commas and quotes in one CSV file, cut into records in parallel;
+    every tenth key is no number, so those rows are left out here."""
+    path = scratch_path(spark, "documents")
+    rows = src.table(spark, folder, "documents").select(
+        F.when(F.col("doc_id") % 10 == 3, F.concat(F.lit("x"), F.col("doc_id"))).otherwise(F.col("doc_id").cast("string")).alias("doc_id"),
+        "source", "text",
+    )
+    rows.coalesce(1).write.options(header=True, quoteAll=True, quote='"', escape='"').csv(path)
+    schema = T.StructType.fromDDL("doc_id bigint, text string, source string")
+    return scan_csv(spark, path, schema).where("doc_id IS NOT NULL")
+
+
+@query("scan_csv_rejected", """
+SELECT 'x' || doc_id || ',' || source AS record FROM documents WHERE doc_id % 10 = 3""")
+def _(spark, folder):
+    """The records whose key does not parse, apart from the others."""
+    path = scratch_path(spark, "documents")
+    key = F.when(F.col("doc_id") % 10 == 3, F.concat(F.lit("x"), F.col("doc_id"))).otherwise(F.col("doc_id").cast("string"))
+    write_scores(src.table(spark, folder, "documents").select(key.alias("doc_id"), "source"), path)
+    return scan_rejected(spark, path, T.StructType.fromDDL("doc_id bigint, source string"), key="doc_id")
+
+
 @query("scan_parse_dates", with_tables("application", """
 SELECT id, appl_sbm_tm, target FROM application"""))
 def _(spark, folder):
@@ -57,14 +83,15 @@ def _(spark, folder):
 
 @query("sink_features_roundtrip", with_tables("application credit", """
 SELECT a.id, split, target, coalesce(quota, 0) AS quota
-FROM application a LEFT JOIN credit c ON a.id = c.id WHERE split = 'test'"""))
+FROM application a LEFT JOIN credit c ON a.id = c.id"""))
 def _(spark, folder):
     path = scratch_path(spark, "features")
     rows = src.application(spark, folder).select("id", "split", "target").join(
         src.credit(spark, folder).select("id", "quota"), "id", "left"
     )
     write_features(rows, path)
-    return scan_features(spark, path, split="test").select("id", "split", "target", "quota")
+    parts = [scan_features(spark, path, split=s).select("id", "split", "target", "quota") for s in ("train", "test")]
+    return parts[0].unionByName(parts[1])
 
 
 @query("sink_scores_roundtrip", "SELECT o_orderkey AS id, CAST(o_custkey AS VARCHAR) AS \"PROB\" FROM orders")
