@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskfeat.models.boosting import BoostedTrees, Booster
+from riskfeat.models.store import ModelStore, fold_digests, settings_of
 from riskfeat.models.trees import add_staged_margins, flat
 from riskfeat.operators.evaluate import auc, min_max_scale_by
 from riskfeat.session import materialize, use_shared_checkpoints
@@ -43,10 +44,19 @@ def fit_scorer(estimator: Estimator, rows: DataFrame) -> Model:
     return estimator.fit(rows)
 
 
-def _fit_all(jobs: list[tuple], parallelism: int) -> list[Model]:
+def _fit_all(jobs: list[tuple], parallelism: int, store: ModelStore | None = None, marks: list[str] | None = None) -> list[Model]:
+    """``marks[i]`` tells the rows of job i from others; with a store, a model that is there
+    for these settings and rows is taken from it."""
+    jobs = [(s, rows, store and store.key(settings_of(s.estimator), mark)) for (s, rows), mark in zip(jobs, marks or [""] * len(jobs))]
+
     def fit(job):
-        scorer, rows = job
-        return fit_scorer(scorer.estimator, rows)
+        scorer, rows, key = job
+        model = store.load(key) if store else None
+        if model is None:
+            model = fit_scorer(scorer.estimator, rows)
+            if store:
+                store.save(key, model)
+        return model
 
     if parallelism == 1:
         return [fit(job) for job in jobs]
@@ -57,21 +67,28 @@ def _fit_all(jobs: list[tuple], parallelism: int) -> list[Model]:
 def stack_oof(
     matrix: DataFrame, scorers: list[Scorer], folds: int, label: str = "target",
     fold: str = "fold", split: str = "split", keep: tuple[str, ...] = ("id",), parallelism: int = 1,
+    store: str | None = None,
 ) -> DataFrame:
     """One row per applicant with one score per scorer.
 
     A train row is scored by the fit that did not see its fold, a test row by
     the fit on all of train. Rows of one batch pass through all scorers in one
     chain, so each row is scored once per scorer and nothing is joined. Scores
-    are then scaled within (scorer, batch). ``matrix`` should be cached or
-    saved: every fit reads it.
+    are then scaled within (scorer, batch). ``matrix`` should be saved, best by (``split``,
+    ``fold``): every fit reads its folds of it. With ``store``, a shared folder, each fitted
+    model is kept there at once, and a later run on the same rows fits only what is missing.
     """
     is_train = F.col(split) == "train"
     train = matrix.where(is_train)
     batches = list(range(folds)) + [ALL_TRAIN]
     fit_rows = {b: train if b == ALL_TRAIN else train.where(F.col(fold) != b) for b in batches}
     jobs = [(s, fit_rows[b]) for b in batches for s in scorers]
-    models = iter(_fit_all(jobs, parallelism))
+    marks = None
+    if store is not None:
+        digests = fold_digests(train, [fold])
+        seen = {b: ";".join(f"{k[0]}={v}" for k, v in sorted(digests.items()) if k[0] != b) for b in batches}
+        marks = [f"{label};{seen[b]}" for b in batches for _ in scorers]
+    models = iter(_fit_all(jobs, parallelism, store and ModelStore(matrix.sparkSession, store), marks))
     parts = []
     for b in batches:
         rows = matrix.where(~is_train) if b == ALL_TRAIN else train.where(F.col(fold) == b)

@@ -41,6 +41,66 @@ def distinct_count_with_null(c: ColumnOrName) -> Column:
     return F.count_distinct(F.struct(as_col(c)))
 
 
+class ValueRows:
+    """The different values of several child columns, once per key, with their rows counted.
+
+    ``rows`` are (key, column, value, n): one shuffle after a partial count on the map side, by
+    key and value, so a hot key is spread and holds each value once. Any number of distinct
+    counts, of counts by value and of memberships is then one plain aggregate per key, where
+    Spark's own plan for several distinct counts copies every raw row for each of them.
+    """
+
+    def __init__(self, df: DataFrame, key: str | list[str], columns: list[str], own: dict[str, DataFrame] | None = None):
+        """``own[c]`` holds (key, c): values to look for among those of column ``c``."""
+        self.keys, self.place = [key] if isinstance(key, str) else key, {c: i for i, c in enumerate(columns)}
+        cells = F.array(*[F.struct(F.lit(i).alias("column"), F.col(c).cast("string").alias("value")) for c, i in self.place.items()])
+        long = df.select(*self.keys, F.inline(cells)).withColumns({"n": F.lit(1).cast("long"), "own": F.lit(0)})
+        for c, rows in (own or {}).items():
+            asked = rows.where(F.col(c).isNotNull())
+            long = long.unionByName(asked.select(
+                *self.keys, F.lit(self.place[c]).alias("column"), F.col(c).cast("string").alias("value"),
+                F.lit(0).cast("long").alias("n"), F.lit(1).alias("own"),
+            ))
+        self.rows = long.groupBy(*self.keys, "column", "value").agg(F.sum("n").alias("n"), F.max("own").alias("own"))
+
+    def _held(self, column: str) -> Column:
+        return (F.col("column") == self.place[column]) & (F.col("n") > 0)
+
+    def distinct(self, column: str) -> Column:
+        """Different values, missing not counted."""
+        return F.count_if(self._held(column) & F.col("value").isNotNull())
+
+    def distinct_with_null(self, column: str) -> Column:
+        """Different values where missing counts as one more value."""
+        return F.count_if(self._held(column))
+
+    def row_count(self) -> Column:
+        """Every raw row has one value in each column."""
+        return F.sum(F.when(F.col("column") == 0, F.col("n")))
+
+    def count_of(self, column: str, value: str) -> Column:
+        return F.coalesce(F.sum(F.when(self._held(column) & (F.col("value") == value), F.col("n"))), F.lit(0))
+
+    def member(self, column: str) -> Column:
+        """1 where a value looked for is among the key's values, else NULL."""
+        return F.max(F.when(self._held(column) & (F.col("own") == 1), 1))
+
+    def mapped_mean(self, column: str, mapping: dict[str, float], default: float) -> Column:
+        """As ``mapped_mean``, from the counts of the values."""
+        counts = {value: self.count_of(column, value) for value in mapping}
+        total = (self.row_count() - sum(counts.values(), F.lit(0))) * F.lit(float(default))
+        for value, score in mapping.items():
+            total = total + counts[value] * F.lit(float(score))
+        return total / F.nullif(self.row_count(), F.lit(0))
+
+    def per_key(self, features: dict[str, Column], rows: DataFrame | None = None) -> DataFrame:
+        """One row per key that has raw rows; ``rows`` may be ``self.rows`` with more columns."""
+        out = (self.rows if rows is None else rows).groupBy(*self.keys).agg(
+            *[c.alias(name) for name, c in features.items()], self.row_count().alias("rows__")
+        )
+        return out.where("rows__ > 0").drop("rows__")
+
+
 def count_where(condition: Column) -> Column:
     return F.count_if(condition)
 

@@ -9,12 +9,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from riskfeat.functions.clean import ColumnOrName, as_col
 from riskfeat.operators.aggregate import value_columns
-from riskfeat.session import materialize
+from riskfeat.session import materialize, scratch_path
 
 # As Spark's own pivot: a wider result has no sensible column list.
 MAX_COLUMNS = 10_000
@@ -228,6 +230,78 @@ class LabelRates:
         return self.add_rate(events.select(key, *groups), name).groupBy(key).agg(F.avg(name).alias(name))
 
 
+@dataclass(frozen=True)
+class OutOfFoldRates:
+    """The share of label 1 of each category, in place of the category: tree learners then put
+    a category of any number of values in order before they cut it into bins.
+
+    A labelled row gets the share among the rows of the other folds, every other row that among
+    all labelled rows. Shares are drawn to the overall share as by ``smooth`` more rows, so
+    rare values stand in the middle; unseen and missing values have the overall share.
+    """
+
+    fitted: DataFrame
+    columns: list[str]
+    prior: float
+    fold: str
+
+    @classmethod
+    def fit(cls, labelled: DataFrame, columns: list[str], label: str = "target", fold: str = "fold", folds: int = 5, smooth: float = 10.0) -> OutOfFoldRates:
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
+        long = labelled.select(F.col(fold).alias("fold__"), F.col(label).alias("label__"), F.inline(cells))
+        counts = materialize(long.groupBy("column", "value", "fold__").agg(
+            F.count_if(F.col("label__") == 0).alias("n0"), F.count_if(F.col("label__") == 1).alias("n1")
+        ))
+        n0, n1 = counts.where(F.col("column") == columns[0]).agg(F.sum("n0"), F.sum("n1")).first()
+        prior = (n1 or 0) / (((n1 or 0) + (n0 or 0)) or 1)
+        # each value for every fold, and for the rows that are in none
+        grid = counts.groupBy("column", "value").agg(F.sum("n0").alias("all0"), F.sum("n1").alias("all1"))
+        grid = grid.withColumn("fold__", F.explode(F.sequence(F.lit(-1), F.lit(folds - 1))))
+        left = grid.join(counts, ["column", "value", "fold__"], "left").where(F.col("value").isNotNull()).select(
+            "column", "value", "fold__",
+            (F.col("all0") - F.coalesce("n0", F.lit(0))).alias("n0"), (F.col("all1") - F.coalesce("n1", F.lit(0))).alias("n1"),
+        )
+        rate = (F.col("n1") + F.lit(smooth * prior)) / (F.col("n0") + F.col("n1") + F.lit(smooth))
+        return cls(materialize(left.select("column", "value", "fold__", rate.alias("rate"))), columns, prior, fold)
+
+    def transform(self, df: DataFrame, is_labelled: Column) -> DataFrame:
+        """``<c>__rate`` beside the columns of ``df``."""
+        order = df.columns
+        row_fold = F.when(is_labelled, F.col(self.fold)).otherwise(F.lit(-1)).alias("row_fold__")
+        for column in self.columns:
+            side = self.fitted.where(F.col("column") == column).select(
+                F.col("value").alias("__value"), F.col("fold__").alias("__fold"), F.col("rate").alias("__rate")
+            )
+            rows = df.select("*", row_fold)
+            joined = rows.join(side, (F.col(column).cast("string") == F.col("__value")) & (F.col("row_fold__") == F.col("__fold")), "left")
+            df = joined.select(*order, F.coalesce("__rate", F.lit(self.prior)).alias(f"{column}__rate"))
+            order = df.columns
+        return df
+
+
+def sparse_crosstab(df: DataFrame, keys: DataFrame, key: str, column: str, codes: LabelCodes, name: str) -> DataFrame:
+    """(key, name): how often each value of ``column`` occurs in the rows of a key, as a sparse
+    vector with a place per code, for any number of values. ``keys`` lists the keys; one
+    without rows has an empty vector.
+
+    The counts are (key, code, n) rows, added up on the map side; no key is pivoted and no
+    column named after a value. The vectors are written as their parts and read as vectors.
+    """
+    coded = codes.transform(df.select(key, column))
+    counts = coded.where(F.col(column).isNotNull()).groupBy(key, column).agg(F.count("*").alias("n"))
+    # a key's entry holds its different values, at most the vocabulary
+    cells = counts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(column).cast("int").alias("i"), F.col("n").cast("double").alias("n")))).alias("cells"))
+    places = F.coalesce(F.transform("cells", lambda c: c.i), F.array().cast("array<int>"))
+    numbers = F.coalesce(F.transform("cells", lambda c: c.n), F.array().cast("array<double>"))
+    size = max(codes.sizes[column], 1)
+    parts = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), places.alias("indices"), numbers.alias("values"))
+    rows = keys.select(key).distinct().join(cells, key, "left").select(key, parts.alias(name))
+    path = scratch_path(df.sparkSession, "vectors")
+    rows.write.parquet(path)
+    marked = StructField(name, VectorUDT(), True, {"ml_attr": {"num_attrs": size}})
+    return df.sparkSession.read.schema(StructType([rows.schema[key], marked])).parquet(path)
+
+
 def assemble_vector(df: DataFrame, keep: list[str], out: str = "features") -> DataFrame:
     """All columns but ``keep`` as one vector, in column order."""
     inputs = [c for c in df.columns if c not in keep]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riskfeat.functions import clean, flags, timefeat
 from riskfeat.operators import aggregate as agg
 from riskfeat.operators.assemble import fill_zero, left_star, prefix_columns
-from riskfeat.operators.encode import LabelRates, fit_vocabulary
+from riskfeat.operators.encode import LabelCodes, LabelRates, fit_vocabulary, sparse_crosstab
 from riskfeat.sources.schema import CATEGORIES_NARROW, CATEGORIES_WIDE, SourceTables
 
 # Category texts and scores of the source data.
@@ -35,6 +35,17 @@ def fit_regions(receive: DataFrame) -> list[str]:
     return fit_vocabulary(receive, {"region": clean.text_prefix("region")})["region"]
 
 
+def fit_region_codes(receive: DataFrame) -> LabelCodes:
+    """Codes of the region prefixes, for any number of them; fit on train on top of test."""
+    return LabelCodes.fit(receive.select(clean.text_prefix("region").alias("region")), ["region"])
+
+
+def region_vectors(receive: DataFrame, application: DataFrame, codes: LabelCodes) -> DataFrame:
+    """(id, regions): a sparse count per region prefix, one row per application."""
+    prefixed = receive.select("id", clean.text_prefix("region").alias("region"))
+    return sparse_crosstab(prefixed, application, "id", "region", codes, "regions")
+
+
 def order_events(order: DataFrame) -> DataFrame:
     """Orders with cleaned amounts and times."""
     return order.select(
@@ -48,25 +59,25 @@ def order_events(order: DataFrame) -> DataFrame:
 def bankcard_counts(bankcard: DataFrame, auth: DataFrame | None = None) -> DataFrame:
     """Counts per id; with ``auth``, one row per id, also ``exist_phone``: 1 where the
     applicant's own phone is that of a card."""
+    own = {} if auth is None else {"phone": auth.select("id", "phone")}
+    values = agg.ValueRows(bankcard, "id", ["bank_name", "tail_num", "phone"], own)
     features = {
-        "bank_name_len": agg.distinct_count_with_null("bank_name"),
-        "tail_num_len": agg.distinct_count_with_null("tail_num"),
-        "bank_phone_num": agg.distinct_count("phone"),
+        "bank_name_len": values.distinct_with_null("bank_name"),
+        "tail_num_len": values.distinct_with_null("tail_num"),
+        "bank_phone_num": values.distinct("phone"),
     }
     if auth is not None:
-        # the cards are the preserved side, so a hot id is split in the join
-        own = auth.select("id", F.col("phone").alias("own_phone"))
-        bankcard = bankcard.join(own, "id", "left")
-        features["exist_phone"] = F.max(F.when(F.col("phone") == F.col("own_phone"), 1))
-    return agg.per_key(bankcard, "id", features)
+        features["exist_phone"] = values.member("phone")
+    return values.per_key(features)
 
 
 def unused_bankcard_counts(bankcard: DataFrame) -> DataFrame:
     """Counts the original computes but does not join."""
-    return agg.per_key(bankcard, "id", {
-        "bankcard_count": agg.row_count(),
-        "card_type_count": agg.distinct_count_with_null("card_type"),
-        "phone_count": agg.distinct_count_with_null("phone"),
+    values = agg.ValueRows(bankcard, "id", ["card_type", "phone"])
+    return values.per_key({
+        "bankcard_count": values.row_count(),
+        "card_type_count": values.distinct_with_null("card_type"),
+        "phone_count": values.distinct_with_null("phone"),
     })
 
 
@@ -164,16 +175,22 @@ def feature_table_wide(tables: SourceTables, regions: list[str], fill: bool = Tr
 
 def bankcard_scores(bankcard: DataFrame, bank_rates: LabelRates | None = None) -> DataFrame:
     """Counts and mean scores per id; with ``bank_rates`` also the mean rate of the banks."""
+    fold = [bank_rates.fold] if bank_rates is not None and bank_rates.fold else []
+    values = agg.ValueRows(bankcard, ["id", *fold], ["bank_name", "phone", "card_type"])
     features = {
-        "bank_name_len": agg.distinct_count_with_null("bank_name"),
-        "tail_num_len": agg.row_count(),
-        "bank_phone_num": agg.distinct_count("phone"),
-        "card_type_score_mean": agg.mapped_mean("card_type", {CREDIT_CARD: CREDIT_CARD_SCORE}, OTHER_CARD_SCORE),
+        "bank_name_len": values.distinct_with_null("bank_name"),
+        "tail_num_len": values.row_count(),
+        "bank_phone_num": values.distinct("phone"),
+        "card_type_score_mean": values.mapped_mean("card_type", {CREDIT_CARD: CREDIT_CARD_SCORE}, OTHER_CARD_SCORE),
     }
+    rows = values.rows
     if bank_rates is not None:
-        bankcard = bank_rates.add_rate(bankcard, "bank_rate")
-        features["bank_rate_mean"] = F.avg("bank_rate")
-    return agg.per_key(bankcard, "id", features)
+        # a bank's rate is looked up once per id, and counts as often as the id has its cards
+        bank = F.when(F.col("column") == values.place["bank_name"], F.col("value"))
+        rows = bank_rates.add_rate(rows.withColumn(bank_rates.category, bank), "bank_rate")
+        rated = F.sum(F.when(F.col("bank_rate").isNotNull(), F.col("n")))
+        features["bank_rate_mean"] = F.sum(F.col("bank_rate") * F.col("n")) / F.nullif(rated, F.lit(0))
+    return values.per_key(features, rows).drop(*fold)
 
 
 def orders_around_application(events: DataFrame, application: DataFrame, amount: str = "amt_order", suffix: str = "") -> DataFrame:

@@ -46,9 +46,16 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``, or where that is
-    unset a folder in the session's warehouse, which all executors share as well."""
+    unset a folder in the session's warehouse. A warehouse on local disks serves a local
+    session only: on a cluster every executor would write to its own."""
     configured = spark.conf.get("spark.checkpoint.dir", "")
-    return configured or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_riskfeat"
+    if configured:
+        return configured
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    one_machine = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+    if not one_machine and warehouse.startswith(("file:", "/")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return warehouse + "/_riskfeat"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -56,15 +63,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark).rstrip("/"), "riskfeat", f"{name}-{uuid.uuid4().hex}")
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write the rows once as a table in the shared folder and read them back.
 
     Cuts the lineage, survives lost executors, and later readers prune columns
-    and know the size. Column metadata is kept.
+    and know the size. Column metadata is kept. With ``partition_by`` (last in the result) a
+    reader of some of these values skips the files of the others.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "table")
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=partition_by or None)
     saved = spark.read.schema(df.schema).parquet(path)
     saved.scratch_path = path
     return saved

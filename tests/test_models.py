@@ -93,3 +93,36 @@ def test_blend_is_least_squares_without_intercept(spark):
     train = out[out.split == "train"]
     weights = np.linalg.lstsq(train[["a", "z"]].to_numpy(), train["target"].to_numpy(), rcond=None)[0]
     assert out["blend"].to_numpy() == pytest.approx(out[["a", "z"]].to_numpy() @ weights)
+
+
+def test_stack_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
+    from riskfeat.models import stack
+    from riskfeat.models.boosting import Booster
+    from riskfeat.session import materialize
+
+    rows = materialize(matrix(spark, 200), partition_by=["split", "fold"])
+    scorers = [Scorer("boost", est.BoostSettings(0.1, 3).estimator()), Scorer("own", Booster("pairwise", 0.3, 2, depth=2)), Scorer("log", est.logistic(150))]
+    fitted = []
+    fit = stack.fit_scorer
+    monkeypatch.setattr(stack, "fit_scorer", lambda estimator, rows: fitted.append(rows) or fit(estimator, rows))
+
+    def run(frame=rows, which=scorers):
+        fitted.clear()
+        out = stack_oof(frame, which, 3, parallelism=2, store=str(tmp_path / "models")).orderBy("id").collect()
+        return out, len(fitted)
+
+    first, n = run()
+    assert n == 12
+    # a fit opens the files of its own folds only
+    plan = fitted[0]._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "fold" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    again, n = run(rows.repartition(5))
+    assert n == 0 and again == first
+    # a model that was not written in full, another setting, other rows
+    next((tmp_path / "models").glob("*/_DONE")).unlink()
+    again, n = run()
+    assert n == 1 and [r.id for r in again] == [r.id for r in first]
+    assert run(which=[Scorer("boost", est.BoostSettings(0.1, 4).estimator())])[1] == 4
+    moved = rows.withColumn("target", F.when(F.col("id") == 2, 1 - F.col("target")).otherwise(F.col("target")))
+    fold = rows.where("id = 2").first().fold
+    assert run(moved)[1] == 3 * 3 and fold in (0, 1, 2)  # every batch but the one that leaves this fold out

@@ -35,7 +35,7 @@ def test_children_are_shuffled_once_by_id(spark, data_dir, no_broadcast):
     assert len(re.findall(r"Exchange hashpartitioning", plan)) == 3
 
 
-@pytest.mark.parametrize("build, exchanges, scans", [(flagship.wide_features, 24, 14), (flagship.anchored_features, 16, 11)])
+@pytest.mark.parametrize("build, exchanges, scans", [(flagship.wide_features, 22, 14), (flagship.anchored_features, 16, 11)])
 def test_wide_tables_take_one_pass_over_each_child(spark, data_dir, no_broadcast, build, exchanges, scans):
     plan = plan_of(build(spark, data_dir))
     assert len(re.findall(r"Exchange hashpartitioning", plan)) == exchanges and plan.count("FileScan") == scans
