@@ -22,7 +22,7 @@ from riskfeat.operators.encode import LabelCodes, OneHot, assemble_vector
 from riskfeat.operators.evaluate import with_fold
 from riskfeat.session import materialize
 
-ROUNDS = 25
+ROUNDS = 20
 KEYS = ["id", "split", "target", "fold"]
 
 # the category: English or not, long or short

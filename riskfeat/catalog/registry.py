@@ -32,7 +32,8 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-# Cleaned forms of the derived tables, as SQL.
+# Cleaned forms of the derived tables, as SQL. The sentinels, date formats and
+# the eight hours, which have to be those of the data.
 AMOUNT = "CASE WHEN {c} NOT IN ('NA', 'null') THEN TRY_CAST({c} AS DOUBLE) END"
 ORDER_TIME = (
     "CASE WHEN time_order IN ('0', 'NA', 'nan') THEN NULL "

@@ -99,10 +99,9 @@ def _scaled(c: Column, low: Column, high: Column) -> Column:
 def min_max_scale(df: DataFrame, score: str, name: str) -> DataFrame:
     """``name`` = score scaled to [0, 1] over the whole table; constant scores give 0.
     A missing score stays missing."""
-    ends = df.agg(F.min(score).alias("low"), F.max(score).alias("high"))
-    return df.withColumn(
-        name, _scaled(F.col(score), ends.select("low").scalar(), ends.select("high").scalar())
-    )
+    # one subquery for both ends, which Spark runs once
+    ends = df.agg(F.struct(F.min(score).alias("low"), F.max(score).alias("high"))).scalar()
+    return df.withColumn(name, _scaled(F.col(score), ends["low"], ends["high"]))
 
 
 def min_max_scale_by(df: DataFrame, by: list[str], scores: list[str]) -> DataFrame:

@@ -52,7 +52,7 @@ def test_records_equal_the_one_task_reader(spark, tmp_path, small_blocks, end):
 def test_quote_states():
     for line, outside, inside in [
         ("a,b", False, True), ('"a', True, False), ('a"', False, False), ('a,"b', True, False), ('"a""', True, False), ('""', False, True),
-        ('","', False, True), ('x","y', True, True), ('a"b,"c', True, True), ("", False, True), ('"a"b,"c"', False, False), ('"a",', False, True),
+        ('","', False, True), ('x","y', True, True), ('a"b,"c', True, True), ("", False, True), ('"a"b,"c"', False, False), ('"a",', False, False),
     ]:
         assert (records.ends_inside(line, False), records.ends_inside(line, True)) == (outside, inside), line
 
