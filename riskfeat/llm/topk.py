@@ -9,11 +9,15 @@ it, the k smallest ids leave each task, and the k first by score and id stay.
 
 Vectors become whole numbers, floor(scale * x) in double precision, and scores are whole.
 
+Every row counts: rows that share an id are candidates each, queries each with k rows of
+their own, and candidates of one another; only a query's own row is left out. Ties go to the
+smaller id, and among rows of one id to any.
+
 Defined results: a vector that is null or holds a null, NaN or infinity takes no part, nor
-does a row without an id; rows that share an id count as one, the least array; vectors of
-different lengths are not compared; an empty vector scores 0 with empty ones; with fewer
-than k others a query gets them all; an empty table gives an empty table. Scores have to
-stay below 2**62 (an error says so otherwise).
+does a row without an id; vectors of different lengths are not compared; an empty vector
+scores 0 with empty ones; with fewer than k others a query gets them all; other columns are not
+read, whatever their names; an empty table gives an empty table. Scores have to stay below
+2**62 (an error says so otherwise).
 """
 
 from __future__ import annotations
@@ -39,26 +43,27 @@ def usable(vector: Column) -> Column:
 
 def whole_vectors(df: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    rows = rows.filter(F.col("id").isNotNull() & usable(F.col("v"))).groupBy("id").agg(F.min("v").alias("v"))
-    return rows.select("id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
+    rows = rows.filter(F.col("id").isNotNull() & usable(F.col("v")))
+    whole = F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v")
+    return rows.select(F.monotonically_increasing_id().alias("row"), "id", whole)
 
 
 def blocks(rows: DataFrame, per: int) -> DataFrame:
-    """Rows (id, v) as packed blocks of about ``per`` rows, one length in each."""
-    n = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-rows.count() // per)))).cast("int")
+    """Rows (row, id, v) as packed blocks of about ``per`` rows, one length in each, by id."""
+    n = F.pmod(F.xxhash64("row"), F.lit(max(1, -(-rows.count() // per)))).cast("int")
     grouped = rows.groupBy(F.size("v").alias("dim"), n.alias("block"))
-    @F.arrow_udf("struct<ids:binary,data:binary,most:double>")
+    @F.arrow_udf("struct<rows:binary,ids:binary,data:binary,most:double>")
     def packed(dim: pa.Array, members: pa.Array) -> pa.Array:
         out = []
         for d, m in zip(dim.to_pylist(), members):
             values = m.values
-            ids, data = values.field("id").to_numpy(), values.field("v").flatten().to_numpy().reshape(len(values), d)
-            order = np.argsort(ids)
-            data = data[order]
-            out.append({"ids": ids[order].tobytes(), "data": data.tobytes(), "most": float(np.sqrt((data**2).sum(1)).max())})
-        return pa.array(out, pa.struct([("ids", pa.binary()), ("data", pa.binary()), ("most", pa.float64())]))
+            rows, ids = values.field("row").to_numpy(), values.field("id").to_numpy()
+            order = np.lexsort((rows, ids))
+            data = values.field("v").flatten().to_numpy().reshape(len(values), d)[order]
+            out.append({"rows": rows[order].tobytes(), "ids": ids[order].tobytes(), "data": data.tobytes(), "most": float(np.sqrt((data**2).sum(1)).max())})
+        return pa.array(out, pa.struct([("rows", pa.binary()), ("ids", pa.binary()), ("data", pa.binary()), ("most", pa.float64())]))
 
-    return grouped.agg(F.collect_list(F.struct("id", "v")).alias("m")).select("dim", "block", packed("dim", "m").alias("p")).select("dim", "block", "p.*")
+    return grouped.agg(F.collect_list(F.struct("row", "id", "v")).alias("m")).select("dim", "block", packed("dim", "m").alias("p")).select("dim", "block", "p.*")
 
 
 def scores(queries: bytes, data: bytes, dim: int, bound: float) -> np.ndarray:
@@ -72,31 +77,28 @@ def scores(queries: bytes, data: bytes, dim: int, bound: float) -> np.ndarray:
     return q.astype(np.int64) @ d.astype(np.int64).T
 
 
-def _own(ids: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places (in ids, in others) of the ids that stand in both; each is sorted and distinct."""
-    if not len(others):
-        return np.zeros(0, int), np.zeros(0, int)
-    at = np.searchsorted(others, ids)
-    at[at == len(others)] = 0
-    same = np.flatnonzero(others[at] == ids)
-    return same, at[same]
+def _own(rows: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in rows, in others) of the rows that stand in both."""
+    _, mine, at = np.intersect1d(rows, others, assume_unique=True, return_indices=True)
+    return mine, at
 
 
 def _scored(asked: dict, data: dict, dim: int, lowest: int, step: int = 512):
-    """(ids of some queries, their lower ends, their scores) a few queries at a time; a
-    query's score with itself is below every range."""
-    ids, others = np.frombuffer(asked["ids"], np.int64), np.frombuffer(data["ids"], np.int64)
-    low = np.full(len(ids), lowest)
-    mine, at = _own(ids, np.array(asked["queries"] or [], np.int64))
+    """(places of some queries, their lower ends, their scores) a few queries at a time; a
+    query's score with its own row is below every range."""
+    rows, others = np.frombuffer(asked["rows"], np.int64), np.frombuffer(data["rows"], np.int64)
+    low = np.full(len(rows), lowest)
+    mine, at = _own(rows, np.array(asked["queries"] or [], np.int64))
     low[mine] = np.array(asked["lows"] or [], np.int64)[at]
-    for i in range(0, len(ids), step):
+    for i in range(0, len(rows), step):
+        some = np.arange(i, min(i + step, len(rows)))
         if dim:
             got = scores(asked["data"][i * dim * 8 : (i + step) * dim * 8], data["data"], dim, asked["most"] * data["most"])
         else:
-            got = np.zeros((len(ids[i : i + step]), len(others)), np.int64)
-        mine, at = _own(ids[i : i + step], others)
+            got = np.zeros((len(some), len(others)), np.int64)
+        mine, at = _own(rows[some], others)
         got[mine, at] = lowest - 1
-        yield ids[i : i + step], others, low[i : i + step], got
+        yield some, low[some], got
 
 
 def histogram_column(k: int, parts: int, width: int, lowest: int):
@@ -107,15 +109,15 @@ def histogram_column(k: int, parts: int, width: int, lowest: int):
     def count(asked: pa.Array, data: pa.Array, dim: pa.Array) -> pa.Array:
         out = []
         for a, d, size in zip(asked.to_pylist(), data.to_pylist(), dim.to_pylist()):
-            rows = []
-            for ids, _, low, got in _scored(a, d, size, lowest):
+            rows, queries = [], np.frombuffer(a["rows"], np.int64)
+            for some, low, got in _scored(a, d, size, lowest):
                 part = np.clip((got - low[:, None]) // width + 1, 0, parts + 1)
-                flat = (np.arange(len(ids))[:, None] * (parts + 2) + part).ravel()
-                n = np.bincount(flat, minlength=len(ids) * (parts + 2)).reshape(len(ids), -1)
+                flat = (np.arange(len(some))[:, None] * (parts + 2) + part).ravel()
+                n = np.bincount(flat, minlength=len(some) * (parts + 2)).reshape(len(some), -1)
                 n[:, 0] = 0
                 above = np.cumsum(n[:, ::-1], axis=1)[:, ::-1] - n
                 q, p = np.nonzero((n > 0) & (above < k))
-                rows += [dict(zip(("query", "low", "part", "n"), x)) for x in zip(ids[q].tolist(), low[q].tolist(), p.tolist(), n[q, p].tolist())]
+                rows += [dict(zip(("query", "low", "part", "n"), x)) for x in zip(queries[some[q]].tolist(), low[q].tolist(), p.tolist(), n[q, p].tolist())]
             out.append(rows)
         return pa.array(out, kind)
 
@@ -124,18 +126,20 @@ def histogram_column(k: int, parts: int, width: int, lowest: int):
 
 def chosen_column(k: int, lowest: int):
     """The scores above a query's k-th best, and the k least ids of those equal to it."""
-    kind = pa.list_(pa.struct([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]))
+    names = ("query", "query_id", "vec_id", "score")
+    kind = pa.list_(pa.struct([(n, pa.int64()) for n in names]))
 
-    @F.arrow_udf("array<struct<query_id:long,vec_id:long,score:long>>")
+    @F.arrow_udf("array<struct<query:long,query_id:long,vec_id:long,score:long>>")
     def choose(asked: pa.Array, data: pa.Array, dim: pa.Array) -> pa.Array:
         out = []
         for a, d, size in zip(asked.to_pylist(), data.to_pylist(), dim.to_pylist()):
-            rows = []
-            for ids, others, low, got in _scored(a, d, size, lowest):
+            rows, others = [], np.frombuffer(d["ids"], np.int64)
+            queries, ids = np.frombuffer(a["rows"], np.int64), np.frombuffer(a["ids"], np.int64)
+            for some, low, got in _scored(a, d, size, lowest):
                 equal = got == low[:, None]
                 first = equal & (np.cumsum(equal, axis=1) <= k)  # others are sorted by id
                 q, v = np.nonzero((got > low[:, None]) | first)
-                rows += [dict(zip(("query_id", "vec_id", "score"), x)) for x in zip(ids[q].tolist(), others[v].tolist(), got[q, v].tolist())]
+                rows += [dict(zip(names, x)) for x in zip(queries[some[q]].tolist(), ids[some[q]].tolist(), others[v].tolist(), got[q, v].tolist())]
             out.append(rows)
         return pa.array(out, kind)
 
@@ -157,8 +161,8 @@ def top_k(df: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector: str
         width *= parts
 
     # every block of queries meets every block of vectors of the same length once
-    query_blocks = asked.select("dim", F.col("block").alias("q"), F.struct("ids", "data", "most").alias("asked_"))
-    data_blocks = data.select("dim", F.col("block").alias("d"), F.struct("ids", "data", "most").alias("data_"))
+    query_blocks = asked.select("dim", F.col("block").alias("q"), F.struct("rows", "ids", "data", "most").alias("asked_"))
+    data_blocks = data.select("dim", F.col("block").alias("d"), F.struct("rows", "ids", "data", "most").alias("data_"))
     names = data_blocks.groupBy("dim").agg(F.collect_list("d").alias("ds")), query_blocks.groupBy("dim").agg(F.collect_list("q").alias("qs"))
     right = data_blocks.join(names[1], "dim").select("dim", "d", "data_", F.explode("qs").alias("q"))
 
@@ -167,7 +171,7 @@ def top_k(df: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector: str
             left = query_blocks.withColumn("queries", F.lit(None).cast("array<long>")).withColumn("lows", F.lit(None).cast("array<long>"))
         else:
             left = query_blocks.join(lows, ["dim", "q"], "left")
-        left = left.select("dim", "q", F.struct("asked_.ids", "asked_.data", "asked_.most", "queries", "lows").alias("asked_"))
+        left = left.select("dim", "q", F.struct("asked_.rows", "asked_.ids", "asked_.data", "asked_.most", "queries", "lows").alias("asked_"))
         return left.join(names[0], "dim").withColumn("d", F.explode("ds")).drop("ds").join(right, ["dim", "q", "d"])
 
     lows = None
@@ -184,5 +188,5 @@ def top_k(df: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector: str
         lows = materialize(lows.select("dim", "q", F.col("x.query").alias("queries"), F.col("x.low").alias("lows")))
         width //= parts
     best = meet(lows).select(F.inline(chosen_column(k, lowest)("asked_", "data_", "dim")))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -187,13 +187,16 @@ def test_top_k_with_ties_and_bad_rows(spark):
     rng = np.random.default_rng(4)
     rows = [(i, rng.integers(-3, 3, 4).astype(float).tolist()) for i in range(300)]
     rows += [(300, None), (350, [1.0, None, 0.0, 0.0]), (400, [float("nan")] * 4), (450, [1.0, 2.0]), (None, [1.0] * 4), rows[0]]
-    got = topk.top_k(frame(spark, rows, "vec_id long, embedding array<double>"), lambda i: i % 50 == 0, parts=4, rows=64).collect()
-    x = np.floor(256 * np.array([v for _, v in rows[:300]])).astype(int)
-    want = set()
-    for q in range(0, 300, 50):
-        order = [j for j in np.lexsort((np.arange(300), -(x @ x[q]))) if j != q][:5]
-        want |= {(q, n + 1, int(j), int(x[j] @ x[q])) for n, j in enumerate(order)}
-    assert {tuple(r) for r in got} == want
+    rows += [(100, rng.integers(-3, 3, 4).astype(float).tolist()) for _ in range(8)] + [(7, rows[7][1])] * 3 + [(150, [3.0] * 4)] * 12
+    df = frame(spark, [(*r, 1, "x") for r in rows], "vec_id long, embedding array<double>, id int, v string")
+    got = topk.top_k(df.repartition(5), lambda i: i % 50 == 0, parts=4, rows=64).collect()
+    used = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and len(v) == 4]
+    x, ids = np.array([v for _, v in used]), np.array([i for i, _ in used])
+    want = []
+    for q in np.flatnonzero(ids % 50 == 0):  # every row is a query of its own, whatever its id
+        order = [j for j in np.lexsort((ids, -(x @ x[q]))) if j != q][:5]
+        want += [(int(ids[q]), n + 1, int(ids[j]), int(x[j] @ x[q])) for n, j in enumerate(order)]
+    assert sorted(tuple(r) for r in got) == sorted(want) and len(want) == 5 * (6 + 1 + 8 + 12)
 
 
 def test_near_duplicates(spark):
@@ -244,6 +247,10 @@ def test_classifiers(spark, data_dir, operator, label):
     extra = frame(spark, [(-1, None), (-2, "")], "doc_id long, text string")
     scored = docs.select("doc_id", "text").union(extra).select("doc_id", operator.score(docs, model).alias("score")).toPandas()
     assert scored.score.between(0, 1).all() and len(scored) == docs.count() + 2
+    unseen = scored.merge(labels.filter(operator.held_out(F.col("doc_id"))).toPandas(), on="doc_id")
+    assert len(unseen) > 10
+    ones, zeros = unseen[unseen[label] == 1].score, unseen[unseen[label] == 0].score
+    assert (ones.to_numpy()[:, None] > zeros.to_numpy()[None]).mean() > 0.8
     seen = scored.merge(labels.filter(~operator.held_out(F.col("doc_id"))).toPandas(), on="doc_id")
     ones, zeros = seen[seen[label] == 1].score, seen[seen[label] == 0].score
     assert (ones.to_numpy()[:, None] > zeros.to_numpy()[None]).mean() > 0.9
