@@ -12,10 +12,14 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
+from riskfeat.llm.vocab import forget
+
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 #: Texts are taken together until they pass this many bytes, which bounds the memory.
 BLOCK = 1 << 20
+#: Texts of a batch that are copied at a time.
+SLICE = 1024
 
 
 def byte_table(f) -> np.ndarray:
@@ -59,12 +63,14 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(texts: pa.Array, classes: np.ndarray, lower: bool):
     """Yields (first text, hashes of all words, places where each text's words begin) by block."""
-    data, offsets = text_bytes(texts)
-    first, n = 0, len(texts)
-    while first < n:
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + BLOCK, "right")) - 1)
-        yield first, *_block(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], classes, lower)
-        first = last
+    forget()
+    for begin in range(0, len(texts), SLICE):  # a slice at a time is copied
+        data, offsets = text_bytes(texts.slice(begin, SLICE))
+        first, n = 0, len(offsets) - 1
+        while first < n:
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + BLOCK, "right")) - 1)
+            yield begin + first, *_block(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], classes, lower)
+            first = last
 
 
 def _block(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray, lower: bool):

@@ -56,7 +56,7 @@ class WordEndBpe:
         self.model = tokenizer.model
         self.whole = lambda t: np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
         self.special = [t["content"] for t in json.loads(text)["added_tokens"]]
-        self.words, self.chunks = WordCache(self.word), WordCache(self.chunk, size=400_000)
+        self.words, self.chunks = WordCache(self.word, size=150_000), WordCache(self.chunk, size=250_000)
 
     def word(self, word: str) -> bytes:
         """One word goes straight to the merges, its bytes as the vocabulary's letters."""

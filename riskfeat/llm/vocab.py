@@ -5,12 +5,26 @@ The files are of fixed size (under 2 MB), so their broadcast does not grow with
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 _PARSED: dict[str, object] = {}
+#: Of the C library, where it has it: else freed blocks stay with the worker.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def forget() -> None:
+    """Drop the tokenizers of this worker with their caches and give free memory back to the
+    system. Operators that hash words call it for every batch: a worker goes on to other
+    stages, and what it held of the last would stay beside them."""
+    _PARSED.clear()
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 class VocabFile:
