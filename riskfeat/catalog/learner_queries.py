@@ -13,13 +13,14 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskfeat.catalog.flagship_queries import scored_documents
+from riskfeat.catalog.flagship_queries import CUT, MONTH, YEAR, anchored_features, scored_documents, wide_features
 from riskfeat.catalog.registry import query
 from riskfeat.models import boosting
 from riskfeat.models import estimators as est
 from riskfeat.models.stack import Scorer, add_score, cross_validate_rounds, fit_scorer, stack_oof
 from riskfeat.operators.encode import LabelCodes, OneHot, assemble_vector
-from riskfeat.operators.evaluate import with_fold
+from riskfeat.operators.evaluate import auc, with_fold
+from riskfeat.plans import jobs
 from riskfeat.session import materialize
 
 ROUNDS = 20
@@ -205,7 +206,8 @@ drawn AS (SELECT draw, kind, sum(target) AS d1, sum(1 - target) AS d0 FROM learn
   WHERE CAST('0x' || substr(md5(concat_ws(':', id, {seed}, draw)), 1, 8) AS BIGINT) < ceil({share} * 4294967296) GROUP BY draw, kind)"""
 
 
-def _pairwise_sql(booster: boosting.Booster) -> str:
+def _pairwise_steps(booster: boosting.Booster) -> str:
+    """rT(kind, s): the margins after T rounds of the ranking loss."""
     steps = ["r0 AS (SELECT kind, CAST(0 AS DOUBLE) AS s FROM sizes)"]
     for t in range(booster.rounds):
         steps.append(f"""
@@ -216,10 +218,14 @@ r{t + 1} AS MATERIALIZED (
       sum(n0 / (1 + exp(a.s - b.s)) / (1 + exp(b.s - a.s))) AS hq, sum(n1 / (1 + exp(a.s - b.s)) / (1 + exp(b.s - a.s))) AS hp
     FROM r{t} a, r{t} b JOIN sizes z ON z.kind = b.kind GROUP BY a.kind) USING (kind) CROSS JOIN weight WHERE draw = {t // booster.redraw})""")
     return f"""
-WITH {kind_sql()},
 sizes AS (SELECT kind, sum(target) AS n1, sum(1 - target) AS n0 FROM learnt GROUP BY kind),
 weight AS (SELECT 1 / sum(n1) + 1 / sum(n0) AS w FROM sizes),{_drawn_sql(booster.row_share, booster.seed, -(-booster.rounds // booster.redraw))},
-{','.join(steps)}
+{','.join(steps)}"""
+
+
+def _pairwise_sql(booster: boosting.Booster) -> str:
+    return f"""
+WITH {kind_sql()},{_pairwise_steps(booster)}
 SELECT id, round(1 / (1 + exp(-s)), 6) AS score FROM asked JOIN r{booster.rounds} USING (kind)"""
 
 
@@ -235,14 +241,55 @@ def _(spark, folder):
 DRAWN = est.BOOST_CATEGORICAL.drawn(ROUNDS)
 
 
-@query("boost_kind_drawn", f"""
-WITH RECURSIVE {kind_sql()},{_drawn_sql(DRAWN.row_share, DRAWN.seed, -(-ROUNDS // DRAWN.redraw))},
+DRAWN_MARGINS = f"""
 margins AS (
   SELECT DISTINCT kind, 0 AS t, (SELECT ln(avg(target) / (1 - avg(target))) FROM learnt) AS f FROM learnt
   UNION ALL
   SELECT m.kind, t + 1, f - CAST({DRAWN.step} AS DOUBLE) * ((d0 + d1) / (1 + exp(-f)) - d1) / ((d0 + d1) / (1 + exp(-f)) / (1 + exp(f)))
-  FROM margins m JOIN drawn d ON d.kind = m.kind AND d.draw = t // {DRAWN.redraw} WHERE t < {ROUNDS})
+  FROM margins m JOIN drawn d ON d.kind = m.kind AND d.draw = t // {DRAWN.redraw} WHERE t < {ROUNDS})"""
+
+
+@query("boost_kind_drawn", f"""
+WITH RECURSIVE {kind_sql()},{_drawn_sql(DRAWN.row_share, DRAWN.seed, -(-ROUNDS // DRAWN.redraw))},{DRAWN_MARGINS}
 SELECT id, round(1 / (1 + exp(-f)), 6) AS score FROM asked JOIN margins USING (kind) WHERE t = {ROUNDS}""")
 def _(spark, folder):
     """Logistic loss on the code column; a draw of rows holds for five rounds."""
     return _scores(code_matrix(kinds(spark, folder)), DRAWN)
+
+
+def _area(margin: str, placed: str) -> str:
+    win = f"CASE WHEN round(x.{margin}, 9) > round(y.{margin}, 9) THEN 1 WHEN round(x.{margin}, 9) = round(y.{margin}, 9) THEN 0.5 ELSE 0 END"
+    return f"SELECT round(sum(x.pos * y.neg * {win}) / sum(x.pos * y.neg), 6) FROM {placed} x, {placed} y"
+
+
+@query("auc_by_objective", f"""
+WITH RECURSIVE {kind_sql()},{_pairwise_steps(PAIRWISE)},
+held AS (SELECT kind, sum(quality) AS pos, sum(1 - quality) AS neg FROM asked JOIN labels ON id = doc_id WHERE quality IS NOT NULL GROUP BY kind),
+ranked AS (SELECT * FROM held JOIN r{ROUNDS} USING (kind)),
+plain AS (SELECT kind, CAST(avg(target) AS DOUBLE) AS p FROM learnt GROUP BY kind),{logistic_boost_sql('plain', est.BOOST_BASE.step, ROUNDS)},
+classed AS (SELECT * FROM held JOIN margins USING (kind) WHERE t = {ROUNDS - 1})
+SELECT 'pairwise' AS objective, ({_area('s', 'ranked')}) AS auc UNION ALL SELECT 'logistic', ({_area('f', 'classed')})""")
+def _(spark, folder):
+    """AUC on the labelled rows kept out, by the ranking loss and by the learner's own."""
+    rows = kinds(spark, folder)
+    matrix = hot_matrix(rows).where(F.col("split") == "train")
+    truth = spark.read.parquet(f"{folder}/labels.parquet").select(F.col("doc_id").alias("id"), F.col("quality").alias("truth"))
+    held = hot_matrix(rows).where(F.col("split") == "test").join(truth.where("truth IS NOT NULL"), "id")
+    parts = []
+    for name, estimator in (("pairwise", PAIRWISE), ("logistic", _whole(est.BOOST_BASE).estimator(ROUNDS))):
+        scored = add_score(held, fit_scorer(estimator, matrix), "score")
+        margin = F.round(F.ln(F.col("score") / (1 - F.col("score"))), 9)
+        parts.append(auc(scored.withColumn("margin", margin), "truth", "margin").select(F.lit(name).alias("objective"), F.round("auc", 6).alias("auc")))
+    return parts[0].unionByName(parts[1])
+
+
+# ---- the feature tables, with a few rounds; no SQL
+
+@query("validate_categorical")
+def _(spark, folder):
+    return jobs.validate_categorical(materialize(wide_features(spark, folder)), YEAR, MONTH, ROUNDS)
+
+
+@query("validate_ranking")
+def _(spark, folder):
+    return jobs.validate_ranking(materialize(anchored_features(spark, folder, None)), jobs.ANCHORED, CUT, ROUNDS)

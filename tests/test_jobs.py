@@ -111,3 +111,13 @@ def test_text_keys(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text("id,quota\nab,1\n")
     assert scan_csv(spark, str(path), schema_of("credit", key_type="string")).first().id == "ab"
+
+
+def test_validation_of_any_scorer(spark, data_dir):
+    """Cross-validation by round and the two splits, on a part of the wide table with few rounds."""
+    wide = flagship.wide_features(spark, data_dir).where("id % 3 = 0").cache()
+    table = jobs.cross_validate_features(wide, rounds=2, folds=2, parallelism=2).toPandas().sort_values("round")
+    assert table["round"].tolist() == [1, 2] and table.train_mean.between(0.4, 1).all() and table.test_std.between(0, 0.5).all()
+    for out in (jobs.validate_categorical(wide, flagship.YEAR, flagship.MONTH, rounds=2), jobs.validate_ranking(wide, cut=flagship.CUT, rounds=2)):
+        assert 0 <= out.first().auc <= 1
+    wide.unpersist()
