@@ -29,7 +29,7 @@ KEYS = ["id", "split", "target", "fold"]
 # the category: English or not, long or short
 KIND_SQL = """
 documents_kind AS (SELECT doc_id AS id, (CASE WHEN coalesce(lang, '0') = 'en' THEN 'en' ELSE 'other' END)
-    || (CASE WHEN coalesce(n_chars, 0) >= 1500 THEN '-long' ELSE '-short' END) AS kind FROM documents),
+    || (CASE WHEN coalesce(n_chars, 0) >= 2000 THEN '-long' ELSE '-short' END) AS kind FROM documents),
 learnt AS (SELECT k.id, kind, quality AS target, (k.id % 5 + {seed} % 5) % 5 AS fold
   FROM documents_kind k JOIN labels ON k.id = labels.doc_id WHERE quality IS NOT NULL AND k.id % 7 <> 0),
 asked AS (SELECT * FROM documents_kind WHERE id NOT IN (SELECT id FROM learnt))"""
@@ -41,7 +41,7 @@ def kind_sql(seed: int = est.STACK_SEED) -> str:
 
 def kinds(spark, folder, seed: int = est.STACK_SEED) -> DataFrame:
     language = F.when(F.col("lang") == "en", "en").otherwise("other")
-    size = F.when(F.col("n_chars") >= 1500, "-long").otherwise("-short")
+    size = F.when(F.col("n_chars") >= 2000, "-long").otherwise("-short")
     rows = scored_documents(spark, folder).select("id", "split", "target", F.concat(language, size).alias("kind"))
     return materialize(with_fold(rows, "id", est.STACK_FOLDS, seed))
 
@@ -182,7 +182,7 @@ means AS (SELECT b, kind, CAST(avg(target) AS DOUBLE) AS p FROM learnt, folds WH
 counts AS (SELECT b, fold = b AS unseen, kind, sum(target) AS pos, sum(1 - target) AS neg FROM learnt, folds GROUP BY ALL),
 placed AS (SELECT b, unseen, t, round(f, 9) AS f, pos, neg FROM counts JOIN margins USING (b, kind)),
 areas AS (
-  SELECT x.b, x.unseen, x.t, sum(x.pos * y.neg * CASE WHEN x.f > y.f THEN 1 WHEN x.f = y.f THEN 0.5 ELSE 0 END) / sum(x.pos * y.neg) AS auc
+  SELECT x.b, x.unseen, x.t, sum(x.pos * y.neg * CASE WHEN x.f > y.f THEN 1 WHEN x.f = y.f THEN 0.5 ELSE 0 END) / nullif(sum(x.pos * y.neg), 0) AS auc
   FROM placed x JOIN placed y ON x.b = y.b AND x.unseen = y.unseen AND x.t = y.t GROUP BY ALL)
 SELECT CAST(t + 1 AS INT) AS round, round(avg(auc) FILTER (NOT unseen), 6) AS train_mean, round(stddev_pop(auc) FILTER (NOT unseen), 6) AS train_std,
   round(avg(auc) FILTER (unseen), 6) AS test_mean, round(stddev_pop(auc) FILTER (unseen), 6) AS test_std
@@ -259,7 +259,7 @@ def _(spark, folder):
 
 def _area(margin: str, placed: str) -> str:
     win = f"CASE WHEN round(x.{margin}, 9) > round(y.{margin}, 9) THEN 1 WHEN round(x.{margin}, 9) = round(y.{margin}, 9) THEN 0.5 ELSE 0 END"
-    return f"SELECT round(sum(x.pos * y.neg * {win}) / sum(x.pos * y.neg), 6) FROM {placed} x, {placed} y"
+    return f"SELECT round(sum(x.pos * y.neg * {win}) / nullif(sum(x.pos * y.neg), 0), 6) FROM {placed} x, {placed} y"
 
 
 @query("auc_by_objective", f"""
