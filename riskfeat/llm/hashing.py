@@ -71,6 +71,8 @@ def word_hashes(texts: pa.Array, classes: np.ndarray, lower: bool):
             last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + BLOCK, "right")) - 1)
             yield begin + first, *_block(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], classes, lower)
             first = last
+        del data, offsets
+    forget()
 
 
 def _block(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray, lower: bool):

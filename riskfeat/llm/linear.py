@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskfeat.llm.hashing import RUNS, U, combine, mix, word_hashes
+from riskfeat.llm.vocab import forget
 
 REPEAT = mix(np.array([0x5265706561740000], U))  # the n-gram "a word right after itself"
 
@@ -137,7 +138,12 @@ def score_column(spark, model: Linear):
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
-    def score(texts: pa.Array) -> pa.Array:
-        return pa.array(shared.value.score(texts))
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = shared.value
+        for texts in batches:
+            yield pa.array(model.score(texts))
+        # a worker that waits for its next task keeps neither tables nor free memory
+        model.__dict__.pop("tables", None)
+        forget()
 
     return score

@@ -23,6 +23,7 @@ import re
 import zlib
 from array import array
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from riskfeat.llm.bpe import byte_letters
-from riskfeat.llm.vocab import VocabFile, WordCache
+from riskfeat.llm.vocab import VocabFile, WordCache, forget
 from riskfeat.session import materialize
 
 SALTS = 64
@@ -93,8 +94,7 @@ def piece_column(spark: SparkSession, path: str, capacity: int, end_id: int | No
     file = VocabFile(spark, path)
     end, step = b"" if end_id is None else np.uint32(end_id).tobytes(), 4 * capacity
 
-    @F.arrow_udf(PIECES)
-    def cut(texts: pa.Array) -> pa.Array:
+    def pieces_of(texts: pa.Array) -> pa.Array:
         bpe = file.parsed(WordEndBpe)
         ends, piece, start, length, crc = [0], [], [], [], []
         for text in texts:
@@ -109,6 +109,11 @@ def piece_column(spark: SparkSession, path: str, capacity: int, end_id: int | No
         columns = [pa.array(piece, pa.int32()), *(pa.array(c, pa.int64()) for c in (start, length, crc))]
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["piece", "start", "length", "ids_crc32"]))
 
+    @F.arrow_udf(PIECES)
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from map(pieces_of, batches)
+        forget()  # Spark keeps more workers than it uses; the waiting ones hold no caches
+
     return cut
 
 
