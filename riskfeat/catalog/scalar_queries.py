@@ -41,14 +41,14 @@ def _(spark, folder):
 @query("scan_csv_line_breaks", """
 SELECT doc_id, nullif(text, '') AS text, source FROM documents WHERE doc_id % 10 <> 3""")
 def _(spark, folder):
-    """Texts with line breaks, commas and quotes in one CSV file, cut into records in parallel;
-    every tenth key is no number, so those rows are left out here."""
+    """Texts with line breaks, commas and quotes in CSV files, as many as tasks write, cut into
+    records in parallel; every tenth key is no number, so those rows are left out here."""
     path = scratch_path(spark, "documents")
     rows = src.table(spark, folder, "documents").select(
         F.when(F.col("doc_id") % 10 == 3, F.concat(F.lit("x"), F.col("doc_id"))).otherwise(F.col("doc_id").cast("string")).alias("doc_id"),
         "source", "text",
     )
-    rows.coalesce(1).write.options(header=True, quoteAll=True, quote='"', escape='"').csv(path)
+    rows.write.options(header=True, quoteAll=True, quote='"', escape='"').csv(path)
     schema = T.StructType.fromDDL("doc_id bigint, text string, source string")
     return scan_csv(spark, path, schema).where("doc_id IS NOT NULL")
 

@@ -101,3 +101,15 @@ def test_parquet_gets_the_declared_types(spark, tmp_path):
     got = scan_parquet(spark, str(tmp_path / "p"), schema)
     assert got.schema.simpleString() == "struct<id:bigint,a:string,b:double,c:timestamp_ntz>"
     assert sorted(map(str, map(tuple, got.collect()))) == ["(1, None, 3.0, None)", "(None, 'b', None, None)"]
+
+
+def test_no_task_writes_or_reads_all_line_breaks(spark, tmp_path, conf):
+    """The texts of the query go out and come back in as many tasks as the table has blocks."""
+    from riskfeat.catalog import QUERIES
+
+    texts = [(i, None if i % 9 == 0 else f'line {i}\n"quoted", {"x" * 900}\nend', "en", None if i % 4 == 0 else "web,a", 900) for i in range(400)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long").repartition(8).write.parquet(str(tmp_path / "documents.parquet"))
+    conf(spark__sql__files__maxPartitionBytes="4000", spark__sql__files__openCostInBytes="500")
+    out = QUERIES["scan_csv_line_breaks"](spark, str(tmp_path))
+    assert len(out.inputFiles()) > 4
+    assert sorted(tuple(r) for r in out.collect()) == sorted((i, t, s) for i, t, _, s, _ in texts if i % 10 != 3)
