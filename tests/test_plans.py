@@ -7,6 +7,7 @@ import pytest
 from riskfeat.catalog import QUERIES
 from riskfeat.catalog import flagship_queries as flagship
 from riskfeat.operators.evaluate import temporal_split
+from riskfeat.session import tune
 from riskfeat.sources.scan import scan_features
 from riskfeat.sources.sink import write_features
 
@@ -63,3 +64,16 @@ def test_rank_and_scale_use_no_global_window_over_rows(spark, data_dir):
     # the one window over everything sits above the bucket totals
     top = plan.index("Window")
     assert "bucket" in plan[top:top + 400] and plan.count("Window [") == 2
+
+
+@pytest.mark.parametrize("key", ["spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes"])
+def test_splits_are_small_unless_the_user_says_otherwise(spark, key):
+    """An aggregate of nearly distinct rows holds all of its split, which has to fit in memory."""
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        assert int(tune(spark).conf.get(key).removesuffix("m")) <= 16
+        spark.conf.set(key, "64m")
+        assert tune(spark).conf.get(key) == "64m"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
