@@ -75,6 +75,16 @@ def word_hashes(texts: pa.Array, classes: np.ndarray, lower: bool):
     forget()
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of data[start:end] for each span."""
+    n = len(data)
+    up, down = _powers(max(BLOCK, 1 << int(n).bit_length()))
+    sums = np.empty(n + 1, U)
+    sums[0] = 0
+    np.cumsum(data.astype(U) * up[:n], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+
+
 def _block(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray, lower: bool):
     n = len(data)
     if not n:
@@ -88,11 +98,7 @@ def _block(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray, lower: bo
     starts, ends = at[:-1], at[1:]
     word = kinds[starts] != 0
     starts, ends = starts[word], ends[word]
-    up, down = _powers(max(BLOCK, 1 << int(n).bit_length()))
-    sums = np.empty(n + 1, U)
-    sums[0] = 0
-    np.cumsum((LOWER[data] if lower else data).astype(U) * up[:n], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+    hashes = span_hashes(LOWER[data] if lower else data, starts, ends)
     return hashes, np.searchsorted(starts, offsets)
 
 

@@ -25,6 +25,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from riskfeat.llm.bpe import byte_letters
+from riskfeat.llm.hashing import SLICE
+from riskfeat.llm.merges import DIGIT, KINDS, SPACE, UNCOMMON, Merges, common, cut_at_contractions, encode_all
 from riskfeat.llm.vocab import VocabFile, WordCache, forget
 from riskfeat.session import materialize
 
@@ -41,23 +44,41 @@ SALTS = 64
 LETTERS = byte_letters()
 PIECES = "array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
 
-#: Letters for which words can be cut here and looked up one by one; other texts, and
-#: those that hold a special token, go to the tokenizer whole.
-UNCOMMON = re.compile(r"[^\x00-\x1b\x20-\x7fÀ-ÖØ-öø-įı-ɏ]")
+#: The words of a text of common letters; other texts, and those that hold a special token,
+#: go to the tokenizer whole.
 COMMON_WORDS = re.compile(r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
 class WordEndBpe:
-    """Ids of a lower-casing BPE tokenizer with word ends, from caches of words and of what white space divides."""
+    """Ids of a lower-casing BPE tokenizer with word ends: of many texts block by block, of one from
+    caches of words and of what white space divides."""
 
     def __init__(self, text: str):
-        tokenizer = Tokenizer.from_str(text)
+        self.text = text
+        file = json.loads(text)
+        self.special = [t["content"] for t in file["added_tokens"]]
+        vocab, ranks = file["model"]["vocab"], {}
+        for rank, merge in enumerate(file["model"]["merges"]):
+            left, right = merge if isinstance(merge, list) else merge.split(" ")
+            ranks[vocab[left], vocab[right]] = rank << 32 | vocab[left + right]
+        ends = [vocab[c + file["model"]["end_of_word_suffix"]] for c in LETTERS]
+        self.words, self.chunks = WordCache(self.word, size=150_000), WordCache(self.chunk, size=250_000)
+        self.merges = Merges([vocab[c] for c in LETTERS], ends, ranks, lambda word: np.frombuffer(self.word(word.decode()), "<u4"))
+
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        """Of texts and words that are not merged here, so often not needed."""
+        tokenizer = Tokenizer.from_str(self.text)
         tokenizer.no_padding()
         tokenizer.no_truncation()
-        self.model = tokenizer.model
-        self.whole = lambda t: np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        self.special = [t["content"] for t in json.loads(text)["added_tokens"]]
-        self.words, self.chunks = WordCache(self.word, size=150_000), WordCache(self.chunk, size=250_000)
+        return tokenizer
+
+    @cached_property
+    def model(self):
+        return self.tokenizer.model
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def word(self, word: str) -> bytes:
         """One word goes straight to the merges, its bytes as the vocabulary's letters."""
@@ -75,6 +96,24 @@ class WordEndBpe:
             return self.whole(text)
         return b"".join(map(self.chunks.__getitem__, text.lower().split()))
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """As ``encode``, the common texts block by block; their letters stay letters in lower case."""
+        blockwise = [common(t, self.special) for t in texts]
+        found = encode_all([t.lower() for t, b in zip(texts, blockwise) if b], single_words, self.merges)
+        return [next(found) if b else self.encode(t) for t, b in zip(texts, blockwise)]
+
+
+def single_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """COMMON_WORDS of lower-case texts, from their bytes: starts and ends."""
+    kinds, limit = KINDS[data], np.zeros(len(data) + 1, bool)
+    limit[offsets] = True
+    edge = limit.copy()
+    edge[1:-1] |= (kinds[1:] != kinds[:-1]) | (kinds[1:] == DIGIT)
+    cut_at_contractions(data, kinds, edge, limit, False)
+    at = np.flatnonzero(edge)
+    word = kinds[at[:-1]] != SPACE
+    return at[:-1][word], at[1:][word]
+
 
 def token_encoder(spark: SparkSession, path: str, end_id: int | None = 0):
     """A column function: text -> packed ids (4 bytes each, little-endian), then the end id."""
@@ -84,7 +123,7 @@ def token_encoder(spark: SparkSession, path: str, end_id: int | None = 0):
     @F.arrow_udf("binary")
     def encode(texts: pa.Array) -> pa.Array:
         bpe = file.parsed(WordEndBpe)
-        return pa.array([bpe.encode(t or "") + end for t in texts.to_pylist()], pa.binary())
+        return pa.array([ids + end for ids in bpe.encode_all([t or "" for t in texts.to_pylist()])], pa.binary())
 
     return encode
 
@@ -97,8 +136,7 @@ def piece_column(spark: SparkSession, path: str, capacity: int, end_id: int | No
     def pieces_of(texts: pa.Array) -> pa.Array:
         bpe = file.parsed(WordEndBpe)
         ends, piece, start, length, crc = [0], [], [], [], []
-        for text in texts:
-            ids = bpe.encode(text.as_py() or "") + end
+        for ids in (ids + end for begin in range(0, len(texts), SLICE) for ids in bpe.encode_all([t or "" for t in texts.slice(begin, SLICE).to_pylist()])):
             for n, i in enumerate(range(0, len(ids), step)):
                 part = ids[i : i + step]
                 piece.append(n)
