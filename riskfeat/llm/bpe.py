@@ -2,7 +2,8 @@
 
 Ids travel packed: one binary value per text, 4 bytes per id, little-endian. A text is
 cut into words by the tokenizer's own pattern; a word keeps its parts and the ranks of
-neighbouring parts in two contiguous lists. The smallest rank is looked for again and
+neighbouring parts in two contiguous lists; texts of common letters are taken a block at a
+time, all their words at once (see ``merges``). The smallest rank is looked for again and
 again, its boundary is deleted and the two neighbouring ranks are refreshed. Words of
 more than LONG_WORD bytes (one run of letters can fill a whole text) go through a heap
 over linked parts instead, which gives the same ids in n log n steps.
@@ -25,6 +26,7 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from riskfeat.llm.merges import KINDS, SPACE, UNCOMMON, Merges, common, cut_at_contractions, encode_all
 from riskfeat.llm.vocab import VocabFile, WordCache
 
 #: The pattern of byte-level tokenizers. Fixed value.
@@ -32,7 +34,6 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 LONG_WORD = 64
 #: The same words for a text of COMMON letters only, in the quicker of two regex libraries.
 COMMON_WORDS = r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
-UNCOMMON = re.compile(r"[^\x00-\x1b\x20-\x7fÀ-ÖØ-öø-įı-ɏ]")
 NO_RANK = 1 << 62
 
 
@@ -44,6 +45,22 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def spaced_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """COMMON_WORDS of texts of common letters, from their bytes: starts and ends."""
+    kinds, limit = KINDS[data], np.zeros(len(data) + 1, bool)
+    limit[offsets] = True
+    edge = limit.copy()
+    edge[1:-1] |= kinds[1:] != kinds[:-1]
+    cut_at_contractions(data, kinds, edge, limit, True)
+    # of a run of white space its last letter is cut off; a blank goes with what follows
+    ends = np.flatnonzero(edge[1:] & (kinds == SPACE)) + 1
+    ends = ends[~limit[ends]]
+    edge[ends - 1] = True
+    edge[ends[data[ends - 1] == 0x20]] = False
+    at = np.flatnonzero(edge)
+    return at[:-1], at[1:]
+
+
 class ByteBpe:
     """One tokenizer file's ranks, with the cache of words already encoded."""
 
@@ -68,6 +85,7 @@ class ByteBpe:
             self.bytes_of[i] = token.encode()
         self.find, self.find_common = regex.compile(WORDS).findall, re.compile(COMMON_WORDS).findall
         self.cache = WordCache(lambda word: np.array(self.word_ids(word.encode()), "<u4").tobytes())
+        self.merges = Merges(self.byte_ids, self.byte_ids, self.ranks, self.word_ids)
 
     def word_ids(self, word: bytes) -> list[int]:
         parts = [self.byte_ids[b] for b in word]
@@ -118,6 +136,12 @@ class ByteBpe:
             return self._plain(text)
         return b"".join(self.special.get(t) or self._plain(t) for t in self.special_pattern.split(text))
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """As ``encode``, the common texts block by block."""
+        blockwise = [common(t, self.special) for t in texts]
+        found = encode_all([t for t, b in zip(texts, blockwise) if b], spaced_words, self.merges)
+        return [next(found) if b else self.encode(t) for t, b in zip(texts, blockwise)]
+
     def decode(self, packed: bytes) -> str:
         table, n = self.bytes_of, len(self.bytes_of)
         ids = np.frombuffer(packed, "<u4").tolist()
@@ -133,7 +157,7 @@ def encoder(spark: SparkSession, path: str):
     @F.arrow_udf("binary")
     def encode(texts: pa.Array) -> pa.Array:
         bpe = file.parsed(ByteBpe)
-        return pa.array([bpe.encode(t or "") for t in texts.to_pylist()], pa.binary())
+        return pa.array(bpe.encode_all([t or "" for t in texts.to_pylist()]), pa.binary())
 
     return encode
 

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from riskfeat.llm import bpe, hashing, jaccard, neardup, packing, quality, secrets, sharding, topk, toxicity, warc
+from riskfeat.llm import bpe, hashing, jaccard, merges, neardup, packing, quality, secrets, sharding, topk, toxicity, warc
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [None, "", " ", "a", "Don't <|endoftext|> stop", "naïve Éa ß 12 ²½ \x1c\x85 ​漢字", "x" * 3000, "one two three " * 4000, "a", "\r\n\t"]
@@ -60,6 +60,34 @@ def test_bpe_columns(spark):
     assert all((r.text or "") == r.back for r in rows) and len(rows) == len(TEXTS)
 
 
+COMMON = "abestmdrevl'''  \n\t\r_-.,;09 ABSTé ÀȺ'<|endoftext|>\x00\x07"
+
+
+@pytest.mark.parametrize("kind, path", [(bpe.ByteBpe, BYTE), (packing.WordEndBpe, WORD)])
+def test_blocks_of_texts_equal_library(kind, path, monkeypatch):
+    """Also where hashes of words are equal, for long words and a text that is longer than a block."""
+    rng = random.Random(3)
+    texts = [t or "" for t in TEXTS] + ["".join(rng.choices(COMMON, k=rng.randrange(40))) for _ in range(4000)]
+    texts += ["re 've 'st x'rest ''s .'s 's", " ", "  a", "\n 's", "a" * 63, "ab" * 32, "é" * 65, "word, " * 200_000]
+    theirs = Tokenizer.from_file(path)
+    want = [theirs.encode(t, add_special_tokens=False).ids for t in texts]
+    ours = kind(open(path, encoding="utf-8").read())
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in ours.encode_all(texts)] == want
+    monkeypatch.setattr(merges, "span_hashes", lambda data, starts, ends: starts % 7)
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in ours.encode_all(texts[:2000])] == want[:2000]
+    assert ours.encode_all([]) == []
+
+
+@pytest.mark.parametrize("kind, path", [(bpe.ByteBpe, BYTE), (packing.WordEndBpe, WORD)])
+def test_words_of_common_texts_are_merged_in_bulk(kind, path, monkeypatch):
+    ours = kind(open(path, encoding="utf-8").read())
+    alone = []
+    monkeypatch.setattr(ours.merges, "alone", lambda word: alone.append(word) or [7])
+    ours.encode_all([f"word{i} naïve " for i in range(500)] + ["x" * 65])
+    assert [w.strip() for w in alone] == [b"x" * 65]
+    assert not (ours.cache if kind is bpe.ByteBpe else ours.words)
+
+
 def test_packing_places_every_piece_once(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choices(["ab", "cde", "fgh,"], k=rng.choice([0, 1, 5, 300, 900, 2500, 5000])))) for i in range(150)]
