@@ -144,6 +144,21 @@ def test_jaccard_against_brute_force(spark):
         assert {(r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == {(i, len(s), tied[i]) for i, s in enumerate(sets)}
 
 
+def test_jaccard_ties_the_first_links_once(spark, monkeypatch):
+    """Without wide columns there is no second pass; else it goes on from stars, not from all links."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[:50], f"x{i}", *base[50:]])) for i in range(12)] + [(20 + i, f"a{i} b{i} c{i} d{i} e{i}") for i in range(5)]
+    df = frame(spark, rows, "doc_id long, text string")
+    given, ties = [], jaccard.components
+    monkeypatch.setattr(jaccard, "components", lambda edges: given.append(edges) or ties(edges))
+    for options, calls in (({}, 1), ({"wide": 1, "members": 1}, 2)):
+        given.clear()
+        got = {r.doc_id: r.component_id for r in jaccard.similar_documents(df, **options).collect()}
+        assert got == {i: 0 if i < 20 else i for i, _ in rows}
+        assert len(given) <= calls
+        assert all(e.filter("a <> b").groupBy("a").count().filter("count > 1").isEmpty() for e in given[1:])
+
+
 def test_shingles_are_of_words():
     a, b, c = jaccard.shingle_sets(pa.array(["A b\tc\n d e", "a B C D E", "a b c d"]), 4)
     assert a.tolist() == b.tolist() and set(c) < set(a) and len(a) == 2
