@@ -94,3 +94,48 @@ def test_labels_of_one_class_and_none(operator):
     texts = pa.array(["a b", None, "", "x " * 200_000])
     assert (only.score(texts) > 0.99).all() and none.score(texts) == pytest.approx([0.5] * 4)
     assert len(none.score(pa.array([], pa.string()))) == 0
+
+
+def test_scores_equal_sums_by_bucket():
+    """Weights are found by counting the buckets before them; none, the first, the last and all buckets."""
+    import pyarrow as pa
+
+    from riskfeat.llm.linear import Linear
+
+    texts = ["a b c d", None, "", "b a a b", " ".join(f"w{i}" for i in range(500))]
+    for bits in (4, 8, 12):
+        ngrams, rng = Ngrams(bits=bits, skips=1, repeats=True), np.random.default_rng(bits)
+        size = 1 << bits
+        for held in ([], [0, size - 1], sorted(rng.choice(size, size // 3, replace=False)), range(size)):
+            held = np.array(held, np.int64)
+            weights, scales = rng.normal(size=(2, len(held))).astype(np.float32)
+            for given in (None, scales):
+                got = Linear(ngrams, held, weights, 0.5, given, 1.5, -0.25).score(pa.array(texts, pa.string()))
+                weight, scale = dict(zip(held.tolist(), weights.tolist())), dict(zip(held.tolist(), scales.tolist()))
+                for first, n, text, bucket in ngrams.blocks(pa.array(texts, pa.string())):
+                    for t in range(n):
+                        own = [b for b in bucket[text == t].tolist() if b in weight]
+                        margin = sum(weight[b] for b in own)
+                        if given is not None:
+                            margin /= math.sqrt(max(sum(scale[b] ** 2 for b in own), 1e-12))
+                        assert got[first + t] == pytest.approx(1 / (1 + math.exp(-(1.5 * (margin + 0.5) - 0.25))))
+
+
+def test_a_model_and_hashes_take_little_memory():
+    """Texts of 4 MB under a model of 22 bits: tables of all values and blocks of 1 MB took over 70 MB."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from riskfeat.llm import hashing
+    from riskfeat.llm.linear import Linear
+
+    held = np.arange(0, 1 << 22, 16)
+    model = Linear(Ngrams(bits=22, repeats=True), held, np.ones(len(held), np.float32), 0.0, np.ones(len(held), np.float32))
+    texts = pa.array([" ".join(f"w{i * j % 997}" for i in range(400)) for j in range(2000)])
+    hashing.forget()
+    tracemalloc.start()
+    model.score(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6 and hashing._powers.cache_info().currsize == 0
