@@ -42,6 +42,21 @@ def test_pair_gradients_equal_all_pairs(spark, spread):
     assert got.loc[[-1, -2], ["g", "h"]].to_numpy().tolist() == [[0, 0], [0, 0]]
 
 
+def test_pair_gradients_are_compiled_and_the_same(spark, monkeypatch):
+    """The loop's derivatives hold no interpreted fold and are those of the fold to the last bit."""
+    df = spark.createDataFrame([(i, None if i == 9 else i % 3, i * i / 4e4) for i in range(400)], "id int, y int, s double")
+    found = PairGradients.fit(df, "y", "s")
+    assert len(found.ones) > 8
+    g, h = found.columns("y", "s")
+    added = found.added(df, "y", "s", "g", "h")
+    assert added.columns == ["id", "y", "s", "g", "h"]
+    assert added.orderBy("id").collect() == df.withColumns({"g": g, "h": h}).orderBy("id").collect()
+    used, adding = [], PairGradients.added
+    monkeypatch.setattr(PairGradients, "added", lambda self, *a: used.append(adding(self, *a)) or used[-1])
+    boosting.Booster(boosting.PAIRWISE, 0.2, 1, depth=2).fit(matrix(spark, 100))
+    assert "aggregate(" not in used[0]._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_pair_gradients_need_both_labels(spark):
     df = spark.createDataFrame([(1, 0.5), (1, 0.1)], "y int, s double")
     assert PairGradients.fit(df, "y", "s") is None
