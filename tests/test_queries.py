@@ -59,3 +59,17 @@ def test_learned_scores_train_in_full(spark, data_dir, monkeypatch, name):
     with pytest.raises(InterruptedError):
         entry.queries()[name](spark, data_dir)
     assert grown == SETTINGS[name]
+
+
+def test_validate_categorical_trains_in_full(spark, data_dir, monkeypatch):
+    """All 2000 rounds of the setting; the fit is recorded, not run."""
+    grown = []
+
+    def fit(self, *_):
+        grown.append(self.rounds)
+        raise InterruptedError
+
+    monkeypatch.setattr(Booster, "fit", fit)
+    with pytest.raises(InterruptedError):
+        entry.queries()["validate_categorical"](spark, data_dir)
+    assert grown == [2000]
