@@ -317,3 +317,31 @@ def test_empty_tables(spark):
     assert topk.top_k(frame(spark, [], vectors), lambda i: i % 50 == 0).count() == 0
     assert neardup.near_duplicates(frame(spark, [], vectors)).count() == 0
     assert warc.round_trip(frame(spark, [], "page_id long, url string, html string")).count() == 0
+
+
+def test_only_the_best_scores_of_a_block_are_placed():
+    """A few of 4,096 scores a query, and all of its k best with their ties."""
+    rng = np.random.default_rng(7)
+    got, k = rng.integers(-10**6, 10**6, (50, 4096)).astype(np.float32), 5
+    got[3] = 17
+    q, v = topk.candidates(got, np.full(50, -(2.0**24), np.float32), k)
+    kept = np.zeros(got.shape, bool)
+    kept[q, v] = True
+    assert (kept | (got < np.sort(got, axis=1)[:, -k][:, None])).all() and (np.diff(q) >= 0).all()
+    assert kept[3].all() and kept.sum() < 4096 + 49 * 20
+    assert not np.isin(topk.candidates(got, np.full(50, 18, np.float32), k)[0], [3]).any()
+
+
+@pytest.mark.parametrize("scale", [1, 2**10, 2**22, 2**24])
+def test_top_k_in_every_number_type(spark, scale):
+    """Scores that fit in 24 bits, in 53 and in 63."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(-60, 60, (120, 3))
+    got = topk.top_k(frame(spark, [(i, v.astype(float).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), lambda i: i % 50 == 0, scale=scale, rows=40)
+    x = x.astype(object) * scale
+    want = []
+    for q in (0, 50, 100):
+        score = [int(s) for s in x @ x[q]]
+        order = sorted((j for j in range(120) if j != q), key=lambda j: (-score[j], j))[:5]
+        want += [(q, n + 1, j, score[j]) for n, j in enumerate(order)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
